@@ -6,8 +6,10 @@ when the session names none (as in tests on one machine).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per context, unless their path has it."""
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    if getattr(context, "_lorewell_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="lorewell-"), "lorewell.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._lorewell_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a fresh local one if unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
