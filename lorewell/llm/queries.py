@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import frequency, groups, mixing, neardup, tokens
+from lorewell.llm import frequency, groups, lookalike, mixing, neardup, tokens
 from lorewell.llm.oracles import ORACLES  # noqa: F401
 from lorewell.session import Scratch, table
 
@@ -19,6 +19,14 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.all_page_groups(table(spark, folder, "links"), table(spark, folder, "wiki_pages"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.look_alike_links(table(spark, folder, "links"), table(spark, folder, "wiki_pages"))
+
+
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.canonical_names(table(spark, folder, "links"), table(spark, folder, "wiki_pages"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.duplicate_pairs(table(spark, folder, "fingerprints"))
 
@@ -56,5 +64,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_classes, p5_found, p5_counts, p8_ids, p9_mixture, p9_shares)
+    f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_classes, p5_found, p5_counts, p8_ids, p9_mixture, p9_shares)
 }
