@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import frequency, groups, lookalike, mixing, neardup, tokens
+from lorewell.llm import frequency, groups, lookalike, mixing, neardup, quality, tokens
 from lorewell.llm.oracles import ORACLES  # noqa: F401
 from lorewell.session import Scratch, table
 
 
+def _page_quality(spark: SparkSession, folder: str) -> DataFrame:
+    stats = quality.page_quality(table(spark, folder, "files"), table(spark, folder, "common_words"))
+    stats = Scratch(spark).save(stats)
+    return quality.scored(stats, quality.fit(stats, table(spark, folder, "page_labels")))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _page_quality(spark, folder).where("chance > 0.5").select("page_id")
+
+
+def p1_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _page_quality(spark, folder)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.page_groups(table(spark, folder, "links"), table(spark, folder, "wiki_pages"))
 
@@ -64,5 +78,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_classes, p5_found, p5_counts, p8_ids, p9_mixture, p9_shares)
+    f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_classes, p5_found, p5_counts, p8_ids, p9_mixture, p9_shares)
 }
