@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import frequency, groups, lookalike, mixing, neardup, quality, tokens
+from lorewell.llm import frequency, groups, lookalike, mixing, neardup, quality, tokens, truncation
 from lorewell.llm.oracles import ORACLES  # noqa: F401
 from lorewell.session import Scratch, table
 
@@ -77,6 +77,18 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.mixture(docs, targets), docs, targets)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.decided(table(spark, folder, "documents"), Scratch(spark)).where("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.source_rates(truncation.decided(table(spark, folder, "documents"), Scratch(spark)))
+
+
+def p10_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.decided(table(spark, folder, "documents"), Scratch(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_classes, p5_found, p5_counts, p8_ids, p9_mixture, p9_shares)
+    f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_classes, p5_found, p5_counts, p8_ids, p9_mixture, p9_shares, p10_found, p10_rates, p10_reasons)
 }
