@@ -2,8 +2,8 @@
 
 Method: suffix blocking. The telling word of every entity (a person's surname, an
 organisation's place) is indexed by its suffixes, of the word and of the word reversed,
-from half its length on and of at least ``LEAST`` letters; so one typing error leaves one
-of the two halves intact. Suffixes are common, so each is refined with further fields, the
+from just under half its length on and of at least ``LEAST`` letters; so one typing error,
+a swap in the middle too, leaves one of the two ends intact. Suffixes are common, so each is refined with further fields, the
 vault and the initial of another word, before anything is compared, and none is discarded.
 Pairs are compared by longest-common-subsequence ratio of their words, then checked word by
 word: initials, nicknames, abbreviations, acronyms, reordered and left-out parts.
@@ -23,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lorewell.llm.lookalike import repaired_forms, vocabulary_of
+from lorewell.session import Scratch
 
 #: Letters of the shortest indexed suffix, and the least common-subsequence ratio of two words.
-LEAST, RATIO = 3, 0.8
+LEAST, RATIO = 2, 0.8
 
 # What may stand before or after a person's name, and words without weight in names of organisations.
 HONORIFICS = frozenset("dr prof professor mr mrs ms miss sir dame herr frau mme mlle dipl ing med phd jr sr".split())
@@ -172,12 +173,12 @@ def organisation_errors(words: list[str], title: list[str], raw: str) -> float |
 def halves(word: str, spread: int) -> set[str]:
     """The indexed suffixes of a word and of the word reversed, marked by direction.
 
-    An indexed word gives those of half its length; a looked-up one (``spread`` 1) also
+    An indexed word gives those of just under half its length; a looked-up one (``spread`` 1) also
     those a letter shorter or longer, as an error may have changed its length.
     """
     found = set()
     for n in range(len(word) - spread, len(word) + spread + 1):
-        size = max(LEAST, n // 2)
+        size = max(LEAST, (n - 1) // 2)
         if len(word) >= size:
             found |= {"<" + word[:size], word[-size:] + ">"}
     return found
@@ -246,7 +247,7 @@ def _link_keys(text: pd.Series) -> pd.Series:
         words = [w for w in words_of(x) if w not in FILLERS]
         if not words or len(words) > 8:
             return []
-        keys = {f"{h}|{o[0]}" for i, w in enumerate(words) if len(w) >= LEAST for h in halves(w, 1) for j, o in enumerate(words) if i != j}
+        keys = {f"{h}|{o[0]}" for i, w in enumerate(words) if len(w) > LEAST for h in halves(w, 1) for j, o in enumerate(words) if i != j}
         joined = "".join(words)
         if len(joined) <= 5 and (len(words) == 1 or all(len(w) == 1 for w in words)):
             keys.add("=" + joined)
@@ -266,8 +267,27 @@ def _cost(raw: pd.Series, kind: pd.Series, words: pd.Series, nicknames: pd.Serie
     return pd.Series([of(*x) for x in zip(raw, kind, words, nicknames)], dtype=float)
 
 
-def entities(pages: DataFrame, front_matter: DataFrame) -> DataFrame:
-    """(vault, page_id, kind, words, nicknames) of the pages whose title and aliases show a person or organisation."""
+def nicknames_in_links(links: DataFrame, persons: DataFrame, firsts: DataFrame, least: int = 2, share: float = 0.6) -> DataFrame:
+    """(full, short): given names used in links for the one person of a vault with the surname beside them.
+
+    A short form counts if at least ``least`` persons have it, mostly of one first name, and
+    if it is no first name itself.
+    """
+    alone = persons.groupBy("vault", "last").agg(F.count("*").alias("n"), F.min("first").alias("first")).where("n = 1").select("vault", "last", "first")
+    pairs = links.select("vault", _words("text").alias("w")).where("size(w) = 2")
+    both = pairs.select("vault", F.explode(F.array(F.struct(F.col("w")[0].alias("short"), F.col("w")[1].alias("last")), F.struct(F.col("w")[1].alias("short"), F.col("w")[0].alias("last")))).alias("p"))
+    used = both.select("vault", "p.*").where("length(short) > 1").distinct().join(alone, ["vault", "last"]).where("short <> first")
+    used = used.join(firsts.select(F.col("first").alias("short")), "short", "left_anti")
+    counted = used.groupBy("short", "first").agg(F.count("*").alias("n"))
+    best = counted.groupBy("short").agg(F.max(F.struct("n", "first")).alias("b"), F.sum("n").alias("all"))
+    return best.where((F.col("b.n") >= least) & (F.col("b.n") >= share * F.col("all"))).select(F.col("b.first").alias("full"), "short")
+
+
+def entities(pages: DataFrame, front_matter: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(vault, page_id, kind, words, nicknames) of the pages whose title and aliases show a person or organisation.
+
+    ``links`` is (vault, text); with it, nicknames used in links alone are learned too.
+    """
     # Two rows of one page count once: the one with the greatest spelling.
     front = front_matter.where("page_id is not null").groupBy("page_id").agg(F.max(F.struct("title", "aliases")).alias("f")).select("page_id", "f.*")
     known = pages.select("page_id", "vault", "name").where("page_id is not null and vault is not null").distinct().join(front, "page_id")
@@ -275,10 +295,12 @@ def entities(pages: DataFrame, front_matter: DataFrame) -> DataFrame:
     shown = known.select(F.explode(_evidence("title", "name", "aliases")).alias("e")).groupBy("e.role", "e.full", "e.short").agg(F.count("*").alias("n"))
     firsts = shown.where("role = 'first'").select(F.col("full").alias("first"), F.lit(True).alias("is_first")).distinct()
     kinds = shown.where("role = 'kind'").select(F.col("full").alias("last"), F.lit(True).alias("is_kind")).distinct()
-    # A short form seen at one page only may be a typing error of that page; one first name has few short forms.
-    nicks = shown.where("role = 'nick'").groupBy("full").agg(F.collect_set("short").alias("nicknames")).withColumnRenamed("full", "first")
+    nicks = shown.where("role = 'nick'").select("full", "short")
     worded = known.withColumn("words", _words("title")).where("size(words) between 2 and 4")
     worded = worded.withColumn("first", F.col("words")[0]).withColumn("last", F.element_at("words", -1))
+    if links is not None:
+        nicks = nicks.unionByName(nicknames_in_links(links, worded.join(firsts, "first", "left_semi"), firsts))
+    nicks = nicks.groupBy(F.col("full").alias("first")).agg(F.collect_set("short").alias("nicknames"))
     typed = worded.join(firsts, "first", "left").join(kinds, "last", "left").join(nicks, "first", "left")
     kind = F.when(F.col("is_kind") & (F.size("words") == 3), "organisation").when(F.col("is_first"), "person")
     typed = typed.select("vault", "page_id", kind.alias("kind"), "words", F.coalesce("nicknames", F.array().cast("array<string>")).alias("nicknames"))
@@ -304,7 +326,7 @@ def variant_links(links: DataFrame, pages: DataFrame, front_matter: DataFrame) -
     fresh = texts.join(forms, "text").join(taken, ["vault", "form"], "left_anti")
     fresh = fresh.withColumn("shown", F.when(F.octet_length("text") == F.length("text"), F.col("text")).otherwise(F.col("form")))
     looked = fresh.select("vault", "text", "shown", F.explode(_link_keys("shown")).alias("key"))
-    known = entities(pages, front_matter)
+    known = Scratch(links.sparkSession).save(entities(pages, front_matter, texts))
     indexed = known.select("vault", "page_id", F.explode(_entity_keys("kind", "words", "nicknames")).alias("key"))
     pairs = looked.join(indexed, ["vault", "key"]).select("vault", "text", "shown", "page_id").distinct()
     costs = pairs.join(known.select("page_id", "kind", "words", "nicknames"), "page_id").withColumn("cost", _cost("shown", "kind", "words", "nicknames"))
