@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import frequency, groups, lookalike, mixing, neardup, quality, tokens, truncation, variants
+from lorewell.llm import frequency, groups, lookalike, markup, mixing, neardup, quality, tokens, truncation, variants
 from lorewell.llm.oracles import ORACLES  # noqa: F401
 from lorewell.session import Scratch, table
 
@@ -66,6 +66,10 @@ def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
     return known.select("vault", "page_id", "kind", F.array_join("words", " ").alias("words"), F.array_join(F.array_sort("nicknames"), " ").alias("nicknames"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.marked_fields(table(spark, folder, "wiki_pages"), table(spark, folder, "page_stats"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(table(spark, folder, "documents"))
 
@@ -99,5 +103,5 @@ def p10_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_classes, p5_found, p5_counts, p6_found, p6_entities, p8_ids, p9_mixture, p9_shares, p10_found, p10_rates, p10_reasons)
+    f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_classes, p5_found, p5_counts, p6_found, p6_entities, p7_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_rates, p10_reasons)
 }
