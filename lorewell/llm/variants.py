@@ -283,21 +283,23 @@ def nicknames_in_links(links: DataFrame, persons: DataFrame, firsts: DataFrame,
     return best.where((F.col("b.n") >= least) & (F.col("b.n") >= share * F.col("all"))).select(F.col("b.first").alias("full"), "short")
 
 
-def entities(pages: DataFrame, front_matter: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def entities(pages: DataFrame, front_matter: DataFrame, links: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(vault, page_id, kind, words, nicknames) of the pages whose title and aliases show a person or organisation.
 
     ``links`` is (vault, text); with it, nicknames used in links alone are learned too.
     """
+    scratch = scratch or Scratch(pages.sparkSession)
     # Two rows of one page count once: the one with the greatest spelling.
     front = front_matter.where("page_id is not null").groupBy("page_id").agg(F.max(F.struct("title", "aliases")).alias("f")).select("page_id", "f.*")
     known = pages.select("page_id", "vault", "name").where("page_id is not null and vault is not null").distinct().join(front, "page_id")
     known = known.where(F.col("title").isNotNull() & ~F.col("title").rlike(r"\d"))
-    shown = known.select(F.explode(_evidence("title", "name", "aliases")).alias("e")).groupBy("e.role", "e.full", "e.short").agg(F.count("*").alias("n"))
+    known = scratch.save(known)
+    shown = scratch.save(known.select(F.explode(_evidence("title", "name", "aliases")).alias("e")).select("e.*").distinct())
     firsts = shown.where("role = 'first'").select(F.col("full").alias("first"), F.lit(True).alias("is_first")).distinct()
     kinds = shown.where("role = 'kind'").select(F.col("full").alias("last"), F.lit(True).alias("is_kind")).distinct()
     nicks = shown.where("role = 'nick'").select("full", "short")
     worded = known.withColumn("words", _words("title")).where("size(words) between 2 and 4")
-    worded = worded.withColumn("first", F.col("words")[0]).withColumn("last", F.element_at("words", -1))
+    worded = scratch.save(worded).withColumn("first", F.col("words")[0]).withColumn("last", F.element_at("words", -1))
     if links is not None:
         nicks = nicks.unionByName(nicknames_in_links(links, worded.join(firsts, "first", "left_semi"), firsts))
     nicks = nicks.groupBy(F.col("full").alias("first")).agg(F.collect_set("short").alias("nicknames"))
@@ -314,19 +316,22 @@ def variant_links(links: DataFrame, pages: DataFrame, front_matter: DataFrame) -
     no case, and neither is one that fits several pages equally well. Null or blank texts,
     vaults and ids give no row; repeated rows of a link count once.
     """
+    scratch = Scratch(links.sparkSession)
     open_links = links.where("resolved is null and link_id is not null and vault is not null").select("link_id", "vault", F.regexp_replace(F.substring_index("display_target", "#", 1), r"(?i)\.md$", "").alias("text"))
     open_links = open_links.where(F.length(F.trim("text")) > 0).distinct()
     spellings = front_matter.select("page_id", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text")).where("text is not null")
     titled = spellings.join(pages.select("page_id", "vault"), "page_id").select("vault", "text")
     own = titled.unionByName(pages.select("vault", F.col("name").alias("text"))).where("vault is not null and text is not null").distinct()
-    texts = open_links.select("vault", "text").distinct()
-    forms = repaired_forms(own.select("text").unionByName(texts.select("text")), "text", vocabulary_of(own, "text"))
+    own, texts = scratch.save(own), scratch.save(open_links.select("vault", "text").distinct())
+    forms = repaired_forms(own.select("text").unionByName(texts.select("text")), "text", scratch.save(vocabulary_of(own, "text")))
+    forms = scratch.save(forms)
     taken = own.join(forms, "text").select("vault", "form").distinct()
     # The repaired text keeps the case the acronyms need only where nothing had to be repaired.
     fresh = texts.join(forms, "text").join(taken, ["vault", "form"], "left_anti")
     fresh = fresh.withColumn("shown", F.when(F.octet_length("text") == F.length("text"), F.col("text")).otherwise(F.col("form")))
+    fresh = scratch.save(fresh)
     looked = fresh.select("vault", "text", "shown", F.explode(_link_keys("shown")).alias("key"))
-    known = Scratch(links.sparkSession).save(entities(pages, front_matter, texts))
+    known = scratch.save(entities(pages, front_matter, texts, scratch))
     indexed = known.select("vault", "page_id", F.explode(_entity_keys("kind", "words", "nicknames")).alias("key"))
     pairs = looked.join(indexed, ["vault", "key"]).select("vault", "text", "shown", "page_id").distinct()
     costs = pairs.join(known.select("page_id", "kind", "words", "nicknames"), "page_id").withColumn("cost", _cost("shown", "kind", "words", "nicknames"))
