@@ -18,7 +18,8 @@ def wanted_pages(resolved: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _missing(resolved: DataFrame, documents: DataFrame) -> DataFrame:
-    pages = documents.select(F.col("page_id").alias("src_page"), "rel_path", F.col("name").alias("document"), "excerpt")
+    path = F.regexp_replace("rel_path", r"(?i)\.md$", "").alias("rel_path")
+    pages = documents.select(F.col("page_id").alias("src_page"), path, F.col("name").alias("document"), "excerpt")
     return resolved.where("resolved is null and target_key is not null and target_key <> ''").join(pages, "src_page")
 
 

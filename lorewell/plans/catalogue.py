@@ -68,7 +68,7 @@ def _wiki(spark: SparkSession, folder: str) -> Wiki:
     return Wiki.of_tables(spark, folder)
 
 
-@query(f"WITH {_LINKS} SELECT page_id, vault, regexp_replace(rel_path, '(?i)\\.md$', '') AS rel_path, name, key, excerpt FROM docs")
+@query(f"WITH {_LINKS} SELECT page_id, vault, rel_path, name, key, excerpt FROM docs")
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return _wiki(spark, folder).documents
 
@@ -230,7 +230,7 @@ def path_statistics(spark: SparkSession, folder: str) -> DataFrame:
 # Wanted pages start from the table of links, whose rows arrive late and repeated.
 _WANTED = """
 once AS (SELECT DISTINCT link_id, vault, src_page, link_pos, display_target, target_key, context FROM links WHERE target_key IS NOT NULL AND target_key <> ''),
-lost AS (SELECT o.*, p.rel_path, p.name AS document, p.excerpt FROM once o LEFT JOIN wiki_pages w ON w.vault = o.vault AND w.key = o.target_key
+lost AS (SELECT o.*, regexp_replace(p.rel_path, '(?i)[.]md$', '') AS rel_path, p.name AS document, p.excerpt FROM once o LEFT JOIN wiki_pages w ON w.vault = o.vault AND w.key = o.target_key
          JOIN wiki_pages p ON p.page_id = o.src_page WHERE w.page_id IS NULL),
 wanted_now AS (SELECT vault, target_key, arg_min(split_part(display_target, '#', 1), struct_pack(a := lower(rel_path), b := link_pos)) AS name, count(*) AS mentions, count(DISTINCT src_page) AS docs
            FROM lost GROUP BY vault, target_key),
@@ -276,7 +276,7 @@ def page_stats(spark: SparkSession, folder: str) -> DataFrame:
     return _wiki(spark, folder).statistics.select("page_id", "visible_lines", "words", "norm")
 
 
-_STATS = "s AS (SELECT p.page_id, p.visible_lines, p.words, w.vault, w.rel_path FROM page_stats p JOIN wiki_pages w ON w.page_id = p.page_id)"
+_STATS = "s AS (SELECT p.page_id, p.visible_lines, p.words, w.vault, regexp_replace(w.rel_path, '(?i)[.]md$', '') AS rel_path FROM page_stats p JOIN wiki_pages w ON w.page_id = p.page_id)"
 
 
 @query(f"""
@@ -306,7 +306,7 @@ def length_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 SELECT page_id, len(shingles)::INTEGER AS shingle_count, len(winnow)::INTEGER AS winnow_count, shingles[1] AS least, shingles[-1] AS greatest, winnow[1] AS winnow_least,
-       list_sum(list_transform(shingles, x -> x % 1000003))::BIGINT AS shingle_sum, list_sum(list_transform(winnow, x -> x % 1000003))::BIGINT AS winnow_sum FROM fingerprints
+       list_sum(list_transform(shingles, lambda x: x % 1000003))::BIGINT AS shingle_sum, list_sum(list_transform(winnow, lambda x: x % 1000003))::BIGINT AS winnow_sum FROM fingerprints
 """)
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     found = _wiki(spark, folder).fingerprints
