@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 POSTINGS, SUPPORT, THRESHOLD, SHARED = 64, 3, 0.82, 24
 
@@ -23,6 +25,40 @@ def candidates(prints: DataFrame, postings: int = POSTINGS, support: int = SUPPO
     return pairs.groupBy("vault", "a", "b").agg(F.count("*").alias("hits")).where(F.col("hits") >= support)
 
 
+#: Share of a shingle set, its smallest hashes, that decides most pairs before whole sets are compared.
+HEAD = 0.3
+
+
+@F.pandas_udf(T.BooleanType())
+def _possible(x: pd.Series, y: pd.Series, m: pd.Series, n: pd.Series, needed: pd.Series) -> pd.Series:
+    """Whether two sorted sets, of which the smallest hashes are given, can still share ``needed``.
+
+    Hashes up to the smaller of both last ones are known of both sets; what one set lacks
+    of the other's there, it lacks altogether.
+    """
+    found = np.ones(len(x), dtype=bool)
+    for k, (a, b, size_a, size_b, least) in enumerate(zip(x, y, m, n, needed)):
+        last = min(a[-1], b[-1])
+        a, b = a[: np.searchsorted(a, last, "right")], b[: np.searchsorted(b, last, "right")]
+        at = np.searchsorted(b, a)
+        shared = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+        found[k] = len(a) - shared <= size_a - least and len(b) - shared <= size_b - least
+    return pd.Series(found)
+
+
+def possible(pairs: DataFrame, prints: DataFrame, threshold: float, least_shared: int) -> DataFrame:
+    """The pairs that can reach the threshold; an exact filter, which reads a part of each set."""
+    head = F.slice("shingles", 1, F.greatest(F.ceil(HEAD * F.size("shingles")), F.lit(1)).cast("int"))
+    heads = prints.select("page_id", head.alias("head"), F.size("shingles").alias("size"))
+    joined = pairs.select("vault", "a", "b").join(heads.select(F.col("page_id").alias("a"), F.col("head").alias("x"), F.col("size").alias("m")), "a")
+    joined = joined.join(heads.select(F.col("page_id").alias("b"), F.col("head").alias("y"), F.col("size").alias("n")), "b")
+    small, large = F.least("m", "n"), F.greatest("m", "n")
+    by_jaccard = F.ceil(threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-9)
+    by_containment = F.ceil(threshold / 0.95 * small - 1e-9)
+    needed = F.greatest(F.lit(least_shared), F.when(small / large >= 0.6, F.least(by_jaccard, by_containment)).otherwise(by_jaccard)).cast("int")
+    return joined.withColumn("needed", needed).where(F.col("needed") <= small).where(_possible("x", "y", "m", "n", "needed")).select("vault", "a", "b")
+
+
 def scored(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """(vault, a, b, shared, jaccard, containment, score) of candidate pairs."""
     left = prints.select(F.col("page_id").alias("a"), F.col("shingles").alias("x"))
@@ -36,7 +72,8 @@ def scored(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 
 def near_duplicates(prints: DataFrame, threshold: float = THRESHOLD, least_shared: int = SHARED) -> DataFrame:
     """Scored pairs of each vault that reach the threshold and share enough."""
-    return scored(candidates(prints), prints).where((F.col("score") >= threshold) & (F.col("shared") >= least_shared))
+    kept = possible(candidates(prints), prints, threshold, least_shared)
+    return scored(kept, prints).where((F.col("score") >= threshold) & (F.col("shared") >= least_shared))
 
 
 def best(pairs: DataFrame, limit: int = 10) -> DataFrame:

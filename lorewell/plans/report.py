@@ -192,7 +192,7 @@ def suggest(wiki: Wiki, filters: tuple[str, ...] = FILTERS, samples: int = 2000,
     if "near-duplicates" in filters:
         prints = wiki.scratch.save(fingerprints_for(wiki, short_words))
         pairs = wiki.scratch.save(duplicates.candidates(prints))
-        scored = duplicates.scored(pairs, prints).where((F.col("score") >= threshold) & (F.col("shared") >= duplicates.SHARED))
+        scored = duplicates.scored(duplicates.possible(pairs, prints, threshold, duplicates.SHARED), prints).where((F.col("score") >= threshold) & (F.col("shared") >= duplicates.SHARED))
         rows = duplicates.best(scored, limit).orderBy("place").collect()
         out += [f"// near_duplicates threshold={threshold:.2f} candidates={pairs.count()} pairs={len(rows)}", *guidance("near_duplicates"), *([] if rows else ["_ none"])]
         shown = {r["page_id"]: r for r in lines_for(wiki).where(F.col("page_id").isin([p for r in rows for p in (r["a"], r["b"])])).collect()} if rows else {}
