@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 from lorewell.session import Scratch
 
 #: Signature: BANDS bands of ROWS minima each, made in passes that split a set into BINS bins.
-ROWS, BANDS, BINS = 6, 160, 64
-#: Verification batches: BATCHES of BATCH one-byte minima, independent of the bands.
-BATCH, BATCHES = 16, 4
+ROWS, BANDS, BINS = 5, 160, 64
+#: Verification batches: BATCHES of BATCH one-byte minima, independent of the bands. Few bins
+#: a pass, so that they are filled by small sets too and the minima stay independent.
+BATCH, BATCHES, CHECK_BINS = 16, 4, 4
 #: Probability with which one pair that reaches its least similarity may be dropped at a batch.
 MISS = 1e-4
 #: Rows of one bucket compared by one task; larger buckets are split into block pairs.
@@ -43,7 +44,7 @@ def least_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD,
     """The smallest Jaccard similarity with which sets of these sizes can still score."""
     small, large = np.minimum(a, b), np.maximum(a, b)
     by_containment = np.ceil(np.maximum(least_shared, threshold / CONTAINED * small) - 1e-9)
-    j = by_containment / (a + b - by_containment)
+    j = by_containment / np.maximum(a + b - by_containment, 1e-9)
     j = np.where(small / large >= RATIO, np.minimum(threshold, j), threshold)
     return np.where(small >= least_shared, j, 2.0)
 
@@ -77,8 +78,8 @@ def _seeds(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, size=(n, 2), dtype=np.uint64) | np.uint64(1)
 
 
-def _minima(values: np.ndarray, owner: np.ndarray, docs: int, multiplier: np.uint64, shift: np.uint64) -> np.ndarray:
-    """One pass: each document's set split into BINS bins by a hash, the least value per bin.
+def _minima(values: np.ndarray, owner: np.ndarray, docs: int, multiplier: np.uint64, shift: np.uint64, bins: int = BINS) -> np.ndarray:
+    """One pass: each document's set split into bins (a power of two) by a hash, the least value per bin.
 
     An empty bin borrows from the next filled one, mixed with the distance, so equal sets
     stay equal and collision probabilities stay those of min-hashing.
@@ -86,14 +87,14 @@ def _minima(values: np.ndarray, owner: np.ndarray, docs: int, multiplier: np.uin
     mixed = (values + shift) * multiplier
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
-    cell = owner * BINS + (mixed >> np.uint64(58)).astype(np.int64)
-    out = np.full(docs * BINS, np.uint64(2**64 - 1))
+    cell = owner * bins + (mixed >> np.uint64(58)).astype(np.int64) % bins
+    out = np.full(docs * bins, np.uint64(2**64 - 1))
     np.minimum.at(out, cell, mixed & np.uint64((1 << 58) - 1))
-    out = out.reshape(docs, BINS)
+    out = out.reshape(docs, bins)
     empty = out == np.uint64(2**64 - 1)
     if empty.any():
         source, hollow = out.copy(), empty.copy()
-        for step in range(1, BINS):
+        for step in range(1, bins):
             take = empty & ~np.roll(hollow, -step, axis=1)
             out[take] = np.roll(source, -step, axis=1)[take] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64)
             empty &= ~take
@@ -107,19 +108,19 @@ def signatures(values: np.ndarray, offsets: np.ndarray, seed: int = 1) -> tuple[
     docs = len(offsets) - 1
     owner = np.repeat(np.arange(docs, dtype=np.int64), np.diff(offsets))
     values = values.astype(np.int64).view(np.uint64)
-    passes = ROWS * BANDS // BINS
-    seeds = _seeds(seed, passes + 1)
+    passes, checks = -(-ROWS * BANDS // BINS), BATCH * BATCHES // CHECK_BINS
+    seeds = _seeds(seed, passes + checks)
     rows = np.concatenate([_minima(values, owner, docs, *seeds[i]) for i in range(passes)], axis=1)
     # A pass's bins are taken in turn, so one band mixes minima of different passes.
-    rows = rows.reshape(docs, passes, BINS).transpose(0, 2, 1).reshape(docs, BANDS, ROWS)
+    rows = rows.reshape(docs, passes, BINS).transpose(0, 2, 1).reshape(docs, passes * BINS)[:, : BANDS * ROWS].reshape(docs, BANDS, ROWS)
     keys = np.zeros((docs, BANDS), dtype=np.uint64)
     for i in range(ROWS):
         keys = (keys ^ rows[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
     keys ^= np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    check = _minima(values, owner, docs, *seeds[passes])
+    check = np.concatenate([_minima(values, owner, docs, *seeds[passes + i], bins=CHECK_BINS) for i in range(checks)], axis=1)
     check = (check * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)
-    return keys, check[:, : BATCH * BATCHES].astype(np.uint8)
+    return keys, check.astype(np.uint8)
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
