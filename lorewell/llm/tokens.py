@@ -4,7 +4,8 @@ Method: overlapping chunk encoding. A text is cut into overlapping windows that
 pre-tokenised independently; two neighbours are stitched at the first boundary inside
 their overlap that both of them found, and the pieces between stitches are encoded in
 parallel. The pattern never looks behind, so from a boundary that both windows share their
-splits are the same; a boundary counts only where the pattern's lookahead has seen text on.
+splits are the same; a boundary counts only where the pattern's lookahead has seen text on,
+and after a sign that is no white space, so that a piece splits as it does inside the text.
 Decoding concatenates the raw bytes of the tokens.
 
 Defined ids: a null text has null ids, an empty text the empty list.
@@ -78,6 +79,14 @@ def boundaries(window: str, last: bool) -> list[int]:
     return starts if last else starts[:-2]
 
 
+def stitch_points(window: str, last: bool) -> list[int]:
+    """Boundaries at which a text may be cut: those after a sign that is no white space.
+
+    A piece that ended in white space would lose what its lookahead sees.
+    """
+    return [x for x in boundaries(window, last) if x and not window[x - 1].isspace()]
+
+
 def windows(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     """Begin and end of each window over a text of ``length`` characters."""
     if length <= chunk + overlap:
@@ -124,7 +133,7 @@ def _window_edges(chunk: int, overlap: int):
         for batch in batches:
             rows = []
             for key, k, begin, last, window in batch.itertuples(index=False, name=None):
-                found = np.asarray(boundaries(window, last), dtype=np.int64) + begin
+                found = np.asarray(stitch_points(window, last), dtype=np.int64) + begin
                 rows.append((key, k, found[found < begin + overlap].tolist(), found[found >= begin + chunk].tolist()))
             yield pd.DataFrame(rows, columns=["key", "k", "head", "tail"])
 
