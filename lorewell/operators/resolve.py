@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lorewell.functions.names import clean_relative, folder_of, key_column, path_key, resolve_from
+from lorewell.session import Scratch
 
 
 def resolve_flat(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -106,6 +107,17 @@ def outgoing(resolved: DataFrame, documents: DataFrame) -> DataFrame:
     return grouped.select("vault", "src_page", "missing", "name")
 
 
-def ordered(frame: DataFrame, by: str) -> DataFrame:
-    """``frame`` with ``place`` from 1 in the order of lower-case names inside ``by``."""
-    return frame.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.lower("name"), "page_id")))
+def ordered(frame: DataFrame, scratch: Scratch) -> DataFrame:
+    """``frame`` with ``place`` from 1 in the order of lower-case names inside each vault.
+
+    Rows are ranged over the partitions by (vault, name), numbered inside each, and shifted
+    by what the partitions before hold of their vault; no vault is sorted in one task.
+    """
+    keyed = frame.withColumn("low", F.lower("name"))
+    ranged = keyed.repartitionByRange("vault", "low", "page_id").withColumn("part", F.spark_partition_id())
+    ranged = scratch.save(ranged)
+    inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("vault", "part").orderBy("low", "page_id")))
+    held = ranged.groupBy("vault", "part").agg(F.count("*").alias("n"))
+    before = held.withColumn("shift", F.sum("n").over(Window.partitionBy("vault").orderBy("part")) - F.col("n"))  # one row a partition
+    placed = inside.join(before.select("vault", "part", "shift"), ["vault", "part"])
+    return placed.withColumn("place", (F.col("shift") + F.col("k")).cast("int")).drop("low", "part", "k", "shift")

@@ -124,7 +124,8 @@ class Wiki:
 
     def largest(self) -> DataFrame:
         """(vault, page_id, name, place) of each vault's largest component, in the order of names."""
-        return resolve.ordered(self.component_members().where("place = 1").drop("place"), "vault").select("vault", "page_id", "name", "place")
+        largest = self.component_members().where("place = 1").drop("place")
+        return resolve.ordered(largest, self.scratch).select("vault", "page_id", "name", "place")
 
     def sampled_pairs(self, samples: int, seed: int = 1) -> DataFrame:
         return graph.sampled_pairs(self.largest(), samples, seed)
