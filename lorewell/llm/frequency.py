@@ -85,17 +85,17 @@ def term_counts(rows: DataFrame, term: str = "term", record: str = "record") ->
     )
 
 
-def marked(counts: DataFrame, total_records: DataFrame, rare: int = 2, common: float = 0.05) -> DataFrame:
+def marked(counts: DataFrame, total: int, rare: int = 2, common: float = 0.05) -> DataFrame:
     """``counts`` with ``mark``: 'rare' (at most ``rare`` records), else 'common' (more than
-    ``common`` of all records), else null. ``total_records`` is one row with column ``total``."""
-    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * F.col("total"), "common")
-    return counts.crossJoin(F.broadcast(total_records)).select("term", "occurrences", "records", mark.cast(T.StringType()).alias("mark"))
+    ``common`` of all ``total`` records), else null."""
+    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * total, "common")
+    return counts.select("term", "occurrences", "records", mark.cast(T.StringType()).alias("mark"))
 
 
 def link_target_counts(links: DataFrame, rare: int = 2, common: float = 0.05) -> DataFrame:
     """(target_key, mentions, docs, mark) over all vaults; a link_id counts once."""
     once = links.select("link_id", "target_key", "src_page").distinct()
     usable = once.where("target_key is not null and target_key <> ''")
-    total = links.agg(F.count_distinct("src_page").alias("total"))
+    total = links.agg(F.count_distinct("src_page").alias("total")).first()["total"]
     counts = marked(term_counts(usable, "target_key", "src_page"), total, rare, common)
     return counts.select(F.col("term").alias("target_key"), F.col("occurrences").alias("mentions"), F.col("records").alias("docs"), "mark")
