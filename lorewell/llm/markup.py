@@ -24,11 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lorewell.session import Scratch
 
-#: Pages the labeller is trained on at most, words of a leaf, and constructs read from the excerpts at most.
+#: Pages the labeller is trained on at most, words of a leaf, and constructs of the excerpts it is trained on at most.
 SAMPLE, LEAF, CONSTRUCTS = 900, 8, 5000
 #: Hash slots, width of leaf vectors, width of each LSTM direction.
 SLOTS, WIDTH, HIDDEN = 1 << 15, 24, 16
@@ -48,7 +48,7 @@ COMMANDS = """alpha begin beta bibitem caption cdot cite citep citet delta emph
  omega paragraph partial pi prod qquad quad ref right section sigma sqrt subsection sum tabular text textbf textit
  textsc texttt theta times underline url usepackage vec vspace""".split()
 
-_TAG = r"</?[A-Za-z][A-Za-z0-9:]{0,15}(?:\s+[A-Za-z][\w:-]*\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>]+))*\s*/?>"
+_TAG = r"</?[A-Za-z][A-Za-z0-9:]*(?:\s+[A-Za-z][\w:-]*\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>]+))*\s*/?>"
 _GRAMMAR = [
     ("code", re.compile(r"(`+)(?!`)(?:(?!\1).)+?\1(?!`)", re.S)),
     ("comment", re.compile(r"<!--.*?(?:-->|$)", re.S)),
@@ -81,6 +81,12 @@ def _is_base64(text: str) -> bool:
     return len(text) > 24 and re.fullmatch(r"[A-Za-z0-9+/=]+", text) is not None
 
 
+def _is_tag(tag: str, text: str) -> bool:
+    """Whether what has a tag's form is one: a name of HTML, an attribute or a closing tag says so."""
+    name = re.match(r"</?([A-Za-z][A-Za-z0-9:]*)", tag)[1].lower()
+    return name in _HTML or "=" in tag or tag.startswith("</") or f"</{name}" in text.lower()
+
+
 def constructs(text: str | None) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of the markup in a line of text, in order; code hides what is inside.
 
@@ -96,10 +102,8 @@ def constructs(text: str | None) -> list[tuple[int, int, str]]:
             begin, end = m.span()
             if any(a <= begin and end <= b for a, b in hidden):
                 continue
-            if kind == "tag":
-                name = re.match(r"</?([A-Za-z][A-Za-z0-9:]*)", m[0])[1].lower()
-                if name not in _HTML and "=" not in m[0] and not m[0].startswith("</") and f"</{name}" not in text.lower():
-                    continue
+            if kind == "tag" and not _is_tag(m[0], text):
+                continue
             found.append((begin, end, kind))
             if kind in ("code", "comment", "formula"):
                 hidden.append((begin, end))
@@ -371,6 +375,19 @@ def construct_names(raw: str) -> set[str]:
     return {n for n in names if n}
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _names(excerpt: pd.Series) -> pd.Series:
+    return excerpt.map(lambda x: sorted(excerpt_names(x)))
+
+
+def excerpt_names(text: str | None) -> set[str]:
+    """Names that all constructs of an excerpt leave in normalised text, nested ones too; code leaves none."""
+    if not text or _is_base64(text.strip()):
+        return set()
+    text = re.sub(r"`[^`]*(?:`|$)", "", text)
+    return construct_names(re.sub(_TAG, lambda m: m[0] if _is_tag(m[0], text) else " ", text))
+
+
 def _put(words: list[str], flags: list[int], raw: str, rng: np.random.Generator, names: frozenset[str]) -> tuple[list[str], list[int]]:
     """Words and their flags with one construct put around one to three of them; words its names changed get 1."""
     i, k = int(rng.integers(0, len(words))), int(rng.integers(1, 4))
@@ -487,16 +504,22 @@ def splits(word: str, names: frozenset[str], telling: frozenset[str]) -> list[tu
     bare = word.strip("0123456789")
     if (word in names and len(word) > 1) or bare in telling or (bare in names and len(bare) > 2):
         return [("", 0)]
-    inside = [n for n in telling if n in word]
+    longest = _longest(telling)
+    inside = {word[i:j] for i in range(len(word)) for j in range(i + 1, min(len(word), i + longest) + 1)} & telling
     if inside:
         left = re.split("|".join(sorted(map(re.escape, inside), key=len, reverse=True)), word)
         left = [p for p in (x.strip("0123456789") for x in left) if p]
         return [(p, 1) for p in left] if any(len(p) > 2 for p in left) else [("", 0)]
-    glued = [(word[: -len(n)], n) for n in names if word.endswith(n) and n not in ("s", "a", "q", "u")]
+    glued = [(word[:i], n) for i in range(len(word)) if (n := word[i:]) in names and n not in ("s", "a", "q", "u")]
     # Short rests and single letters need more: random letters make such words too.
     return [(p, (20 if len(p) == 2 else 1) if len(n) > 1 else 20 if len(p) == 3 else 3) for p, n in glued if len(p) > 2 or (len(p) == 2 and len(n) > 1)]
 
 
+@lru_cache(maxsize=8)
+def _longest(names: frozenset[str]) -> int:
+    return max(map(len, names), default=0)
+
+
 def everyday(word: str) -> bool:
     """Whether a name is also a plain word, so that only its context tells."""
     return word in _ENGLISH or len(word) < 3
@@ -530,7 +553,8 @@ def _predict(model_bytes, names: frozenset[str], telling: frozenset[str]):
                     for k, (leaf, c) in enumerate(zip(tail, chance[len(head) :])):
                         if c >= CHANCE:
                             for j, word in enumerate(leaf, k * LEAF):
-                                if (c >= CONFIDENT or not everyday(word)) and not coded(word, flat[j + 1] if j + 1 < len(flat) else ""):
+                                plain = everyday(word) or (len(word) >= 4 and word in names and word not in telling)
+                                if (c >= CONFIDENT or not plain) and not coded(word, flat[j + 1] if j + 1 < len(flat) else ""):
                                     rows += [(page, "norm", word, *reading) for reading in splits(word, names, telling) if reading[1] < 20 or word not in model.frequent]
                 yield pd.DataFrame(rows, columns=["page_id", "field", "word", "part", "times"])
 
@@ -538,20 +562,22 @@ def _predict(model_bytes, names: frozenset[str], telling: frozenset[str]):
 
 
 def mined_names(pages: DataFrame, most: int = CONSTRUCTS) -> tuple[list[str], frozenset[str], frozenset[str]]:
-    """(constructs, names, telling names) of all excerpts, most frequent ``most`` construct texts.
+    """(constructs, names, telling names) of excerpts: the most frequent ``most`` construct texts, to train on, and all names.
 
-    Telling names are words that no excerpt without constructs holds as a word.
+    Names are read from every excerpt as a whole, whatever their number or length. Telling
+    names are words that no excerpt without constructs holds as a word.
     """
     raw = pages.where("excerpt is not null").select(F.explode(F.regexp_extract_all("excerpt", F.lit(r"(<[^<>]{1,80}>[^<>]{0,60}</[A-Za-z0-9]+>|<[A-Za-z]+\s*/?>|&[A-Za-z]+;|\\[A-Za-z]+\{[^{}]{0,60}\}(?:\{[^{}]*\})?|\{\{[^{}]{1,80}\}\})"), F.lit(1))).alias("c"))
     shape = F.regexp_replace(F.regexp_replace("c", r"\d+", "9"), r"(?<=[>|{])[^<>|{}=]+(?=<|\}\})", "x")
     counted = raw.groupBy(shape.alias("shape")).agg(F.min("c").alias("c"), F.count("*").alias("n"))
     rows = [r["c"] for r in counted.orderBy(F.desc("n"), "shape").limit(most).collect()]
     mined = mined_constructs(rows)
-    seen = frozenset(n for raw in mined for n in construct_names(raw))
+    seen = frozenset(r["n"] for r in pages.where(F.col("excerpt").rlike(r"[<&\\{]")).select(F.explode(_names("excerpt")).alias("n")).distinct().collect())
     names = seen | fixed_names()
     plain = pages.where(F.col("excerpt").isNotNull() & ~F.col("excerpt").rlike(r"[<>&\\{}]"))
-    words = plain.select(F.explode(F.split(F.lower("excerpt"), r"[^\p{L}\p{N}]+")).alias("w")).where(F.col("w").isin(sorted(names))).distinct()
-    natural = frozenset(r["w"] for r in words.collect())  # at most as many as there are names
+    words = plain.select(F.explode(F.split(F.lower("excerpt"), r"[^\p{L}\p{N}]+")).alias("w")).distinct()
+    asked = pages.sparkSession.createDataFrame(pd.DataFrame({"w": sorted(names)}))
+    natural = frozenset(r["w"] for r in words.join(asked, "w", "left_semi").collect())  # at most as many as there are names
     names = seen | (names - natural)
     telling = frozenset(n for n in names if len(n) >= 4 and n not in natural and n not in _ENGLISH)
     return mined, names, telling

@@ -132,3 +132,22 @@ def test_markup_empty(spark):
     pages = spark.createDataFrame([], "page_id long, excerpt string")
     stats = spark.createDataFrame([], "page_id long, norm string")
     assert markup.marked_fields(pages, stats).count() == 0
+
+
+def test_names_of_all_excerpts(spark):
+    """Neither their number, their length, their texts nor what is around them loses a name."""
+    long = "many plain words " * 20
+    excerpts = ["{{zebra}}", "{{stubby}} x", "{{outerone|{{innerone|a=1}}}}", f"\\longcmd{{{long}}} y", f'<section kindly="{long}">{long}</section>', f"{{{{wideone|{long}}}}}"]
+    excerpts += [f"\\cmd{a}{b}{{text {a}{b}}}" for a in "abcdefgh" for b in "abcdefgh"] + ["see `{{hidden}}`", "a <placeholder> b", "", "zebra in a plain text", None]
+    pages = spark.createDataFrame([(i, e) for i, e in enumerate(excerpts)], "page_id long, excerpt string")
+    mined, names, telling = markup.mined_names(pages, most=3)
+    wanted = {"zebra", "stubby", "outerone", "innerone", "longcmd", "kindly", "kindlymany", "wideone"} | {f"cmd{a}{b}" for a in "abcdefgh" for b in "abcdefgh"}
+    assert len(mined) <= 3 and wanted <= names and wanted - {"zebra"} <= telling and "zebra" not in telling
+    assert not {"hidden", "placeholder"} & names
+
+
+def test_splits_like_a_search_of_all_names():
+    names = frozenset(["em", "b", "textbf", "frac", "nbsp", "s"])
+    telling = frozenset(["textbf", "frac", "nbsp"])
+    assert set(markup.splits("gatetextbfwall", names, telling)) == {("gate", 1), ("wall", 1)}
+    assert markup.splits("gateem", names, telling) == [("gate", 1)] and markup.splits("gates", names, telling) == []
