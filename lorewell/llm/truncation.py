@@ -206,20 +206,26 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def prefix_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
     """(key) of the texts that, without an exporter's mark at the end, are a strict prefix of a longer text.
 
-    Texts are paired by a hash of their first ``prefix`` characters. Equal texts count once,
-    and only prefixes that texts of different lengths share are joined, so copies of one
-    text never meet each other. Shorter texts are compared with nothing.
+    Texts are paired by a hash of their first ``prefix`` characters, shorter ones by all they
+    have, at each length that occurs. Equal texts count once, and only prefixes that texts of
+    different lengths share are joined, so copies of one text never meet each other. A text
+    that lacks nothing but a closing stop is not cut.
     """
     bare = F.regexp_replace(F.rtrim(F.col(text)), r"(?:…|\.\.\.+|\x{FFFD}+)\s*$", "")
-    rows = docs.where(F.length(text) >= prefix).select(F.col(key), F.rtrim(F.col(text)).alias("whole"), F.rtrim(bare).alias("bare"))
-    hashed = rows.withColumn("h", F.xxhash64(F.substring("bare", 1, prefix))).withColumn("t", F.xxhash64("whole"))
+    rows = docs.select(F.col(key), F.rtrim(bare).alias("bare")).where(F.length("bare") > 0)
+    hashed = rows.withColumn("h", F.xxhash64(F.substring("bare", 1, prefix))).withColumn("t", F.xxhash64("bare"))
     shared = hashed.groupBy("h").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("h")
-    several = hashed.join(shared, "h", "left_semi")
-    distinct = several.groupBy("h", "t").agg(F.first("whole").alias("whole"), F.first("bare").alias("bare"))
-    longer = distinct.select("h", F.col("whole").alias("other"))
-    short = distinct.where(F.length("bare") >= prefix)
-    cut = short.join(longer, (short["h"] == longer["h"]) & (F.length("other") > F.length("bare") + 1) & F.col("other").startswith(F.col("bare")), "left_semi").select("t")
-    return several.join(cut, "t", "left_semi").select(key)
+    distinct = hashed.where(F.length("bare") >= prefix).join(shared, "h", "left_semi").select("h", "bare").distinct()
+    longer = distinct.select("h", F.col("bare").alias("other"))
+    lacks = lambda other, cut: (F.length(other) > F.length(cut)) & ~F.expr(f"substring({other}, length({cut}) + 1)").rlike(r"^[.!?。！？؟।]$")
+    cut = distinct.join(longer, (distinct["h"] == longer["h"]) & F.col("other").startswith(F.col("bare")) & lacks("other", "bare"), "left_semi").select("bare")
+    short = rows.where(F.length("bare") < prefix).select("bare").distinct()
+    lengths = sorted(r["n"] for r in short.select(F.length("bare").alias("n")).distinct().collect())  # fewer than ``prefix``
+    if lengths:
+        begun = rows.select(F.col("bare").alias("other")).distinct().select("other", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.length("other") > F.col("n"))
+        begun = begun.withColumn("begin", F.expr("substring(other, 1, n)")).where(lacks("other", "begin")).select(F.col("begin").alias("bare"))
+        cut = cut.unionByName(short.join(begun, "bare", "left_semi"))
+    return rows.join(cut.distinct(), "bare", "left_semi").select(key)
 
 
 def decided(docs: DataFrame, scratch) -> DataFrame:

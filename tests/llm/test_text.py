@@ -104,3 +104,13 @@ def test_truncation_on_tables(spark):
     rates = {r["source"]: (r["texts"], r["cut"]) for r in truncation.source_rates(decided).collect()}
     assert rates["s"] == (43, 2)
     assert truncation.decided(docs.limit(0), Scratch(spark)).count() == 0
+
+
+def test_prefix_copies_of_short_texts_and_of_one_letter(spark):
+    from lorewell.llm import truncation
+
+    long = "The keeper of the northern gate at Marwick cleaned the lanterns"
+    texts = ["Committee of the nor", "Committee of the northern gate", "Closed for the fair", "Closed for the fair.", "Binder", "Binder", long, long + "s", long + "s.", "Gone…", "Gone", "Gone home", "Plain words", "", " ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in truncation.prefix_copies(docs).collect()} == {0, 6, 9, 10}
+    assert truncation.prefix_copies(docs.limit(0)).count() == 0
