@@ -1,7 +1,7 @@
 """Session helpers: conf lookups, table reading and lineage cutting.
 
 Nothing here changes a session the caller owns, except that a checkpoint folder is set
-when the session names none (as in tests on one machine).
+when a session on a local master names none (as in tests on one machine).
 """
 
 from __future__ import annotations
@@ -38,23 +38,62 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh local one if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh temporary one on a local master.
+
+    A cluster whose session names no folder gets a ``ValueError``: on a folder of one machine
+    each executor would write to its own disk and readers would see a part of the rows.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     current = context.getCheckpointDir()
     if current.isEmpty():
+        master = spark.sparkContext.master
+        if not is_local(master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder all executors share (master {master})")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lorewell-"))
         current = context.getCheckpointDir()
     return current.get().rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` starts executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
+#: Folders of intermediate tables that have not been removed yet, by application.
+_open: dict[str, set[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application and return how many folders that were.
+
+    For use between queries, once results are written: what a lazy result still reads must
+    stay. Folders nobody released are deleted when the application ends.
+    """
+    folders = _open.pop(spark.sparkContext.applicationId, set())
+    for folder in folders:
+        _delete(spark, folder)
+    return len(folders)
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path, system = _path(spark, folder)
+    system.delete(path, True)
+
+
 class Scratch:
     """Written intermediate tables. Each cuts lineage and survives the loss of any executor.
 
     ``save`` writes a DataFrame as parquet and reads it back; ``drop`` deletes what a loop
-    no longer needs. Tables a lazily evaluated result still reads must not be dropped.
+    no longer needs. Tables a lazily evaluated result still reads must not be dropped. The
+    folder goes with ``close`` or ``release``, at the latest when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -63,6 +102,11 @@ class Scratch:
         self.count = 0
 
     def save(self, frame: DataFrame) -> DataFrame:
+        if not self.count:
+            path, system = _path(self.spark, self.folder)
+            system.mkdirs(path)
+            system.deleteOnExit(path)
+            _open.setdefault(self.spark.sparkContext.applicationId, set()).add(self.folder)
         self.count += 1
         path = f"{self.folder}/{self.count}"
         frame.write.parquet(path)
@@ -71,8 +115,9 @@ class Scratch:
         return saved
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame._lorewell_path)
-            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, frame._lorewell_path)
+
+    def close(self) -> None:
+        _delete(self.spark, self.folder)
+        _open.get(self.spark.sparkContext.applicationId, set()).discard(self.folder)
