@@ -123,31 +123,34 @@ def signatures(values: np.ndarray, offsets: np.ndarray, seed: int = 1) -> tuple[
     return keys, check.astype(np.uint8)
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, many, size, bands, signature) of (id, many, items): each set is hashed once."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            sets = part.column(1)
+            sets = part.column(2)
             values = np.asarray(sets.flatten())
             offsets = np.asarray(sets.offsets) - sets.offsets[0].as_py()
             keys, check = signatures(values, offsets)
             n = len(offsets) - 1
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
             check_bytes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BATCH * BATCHES), n, [None, pa.py_buffer(check.tobytes())]).cast(pa.binary())
-            take = pa.array(np.repeat(np.arange(n), BANDS))
-            size = pa.array(np.diff(offsets).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), part.column(0).take(take), size.take(take), check_bytes.take(take)], ["band", "id", "size", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int32)), bands, check_bytes], ["id", "many", "size", "bands", "signature"])
 
 
 def _pairs_in_runs(miss: float, threshold: float, least_shared: int):
-    """Compare all rows of equal (band, block_a, block_b) in key-ordered batches."""
+    """Compare all rows of equal (band, block_a, block_b) in batches ordered by key and size."""
     table = needed_matches(miss)
+    ratio = min(RATIO, threshold) - 1e-9  # no pair of less equal sizes can score
 
     def compare(band: np.ndarray, ids: np.ndarray, size: np.ndarray, side: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Rows of a bucket come in the order of their sizes: a row meets those after it until their sets are too large for it.
         found_a, found_b = [], []
         run = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
         remaining = np.repeat(np.r_[run[1:], len(band)], np.diff(np.r_[run, len(band)])) - np.arange(len(band)) - 1
         step, live = 1, np.flatnonzero(remaining >= 1)
         while len(live):
+            live = live[size[live] >= ratio * size[live + step]]
             i, j = live, live + step
             fit = (ids[i] != ids[j]) & ((side[i] == 0) | (side[i] != side[j]))
             i, j = i[fit], j[fit]
@@ -192,12 +195,20 @@ def _pairs_in_runs(miss: float, threshold: float, least_shared: int):
     return run
 
 
-def candidate_pairs(sets: DataFrame, key: str, items: str, miss: float = MISS, threshold: float = THRESHOLD, least_shared: int = SHARED, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b), a < b, that share a band and survive the posterior bounds."""
-    rows = sets.select(F.col(key).cast("long").alias("id"), F.col(items).alias("items")).where("id is not null and size(items) > 0")
-    bands = rows.mapInArrow(_band_rows, "band long, id long, size int, signature binary")
-    blocked = split_buckets(bands, block)
-    ordered = blocked.repartition("bucket").sortWithinPartitions("bucket")
+def candidate_pairs(sets: DataFrame, key: str, items: str, miss: float = MISS, threshold: float = THRESHOLD, least_shared: int = SHARED, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+    """Distinct (a, b), a < b, that share a band and survive the posterior bounds.
+
+    Rows of one key must hold one set; where a column ``many`` is true the key may have
+    several of them, which count once.
+    """
+    scratch = scratch or Scratch(sets.sparkSession)
+    many = F.col("many") if "many" in sets.columns else F.lit(True)
+    rows = sets.select(F.col(key).cast("long").alias("id"), many.alias("many"), F.col(items).alias("items")).where("id is not null and size(items) > 0")
+    signed = scratch.save(rows.mapInArrow(_signed, "id long, many boolean, size int, bands array<long>, signature binary"))
+    once = signed.where("many").groupBy("id").agg(*[F.first(c).alias(c) for c in ("size", "bands", "signature")])
+    signed = signed.where("not many").drop("many").unionByName(once)
+    blocked = split_buckets(signed.select("id", "size", "signature", F.explode("bands").alias("band")), block)
+    ordered = blocked.repartition("bucket").sortWithinPartitions("bucket", "size")
     pairs = ordered.select("bucket", "id", "size", "side", "signature").mapInArrow(_pairs_in_runs(miss, threshold, least_shared), "a long, b long")
     return pairs.distinct()
 
@@ -230,27 +241,29 @@ def near_duplicates(prints: DataFrame, key: str = "page_id", items: str = "shing
     """(pairs, classes). ``pairs``: (a, b, score, shared) of representatives, a < b.
     ``classes``: (key, rep) of every row with a set; copies of one set share a representative.
 
-    Null keys, null and empty sets are left out; a repeated key counts once, with its
-    largest set. Sets must be free of repeats.
+    Null keys, null and empty sets are left out. A repeated key counts once, with its largest
+    set (of equally large ones, the one with the greatest hash). Sets must be free of repeats.
     """
     scratch = Scratch(prints.sparkSession)
     rows = prints.select(F.col(key).cast("long").alias("id"), F.array_sort(F.col(items)).alias("items")).where("id is not null and size(items) > 0")
     digest = F.struct(F.size("items").alias("size"), F.xxhash64("items").alias("h"), F.hash("items").alias("g"), F.xxhash64(F.lit(7), "items").alias("k"))
-    classes = rows.select("id", digest.alias("digest")).groupBy("id").agg(F.max("digest").alias("digest"))
-    heads = classes.groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = scratch.save(classes.join(heads, "digest").select("id", "rep", F.col("digest.size").alias("size")))
-    reps = classes.where("id = rep").select("id")
-    distinct = rows.join(reps, "id", "left_semi")
-    pairs = scratch.save(candidate_pairs(distinct, "id", "items", miss, threshold, least_shared))
-    # Only sets that are part of a candidate travel to the exact check.
+    rows = rows.withColumn("digest", digest)
+    # Each key's one set, and whether the key has more rows than one.
+    chosen = rows.groupBy("id").agg(F.max("digest").alias("digest"), (F.count("*") > 1).alias("many"))
+    heads = chosen.groupBy("digest").agg(F.min("id").alias("rep"))
+    chosen = scratch.save(chosen.join(heads, "digest").select("id", "rep", "digest", "many"))
+    reps = chosen.where("id = rep").select("id", "digest", "many")
+    pairs = scratch.save(candidate_pairs(rows.join(reps, ["id", "digest"]), "id", "items", miss, threshold, least_shared, scratch=scratch))
+    # Only sets that are part of a candidate travel to the exact check, each once.
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = distinct.join(needed, "id", "left_semi")
+    full = rows.join(reps.join(needed, "id", "left_semi"), ["id", "digest"]).groupBy("id").agg(F.first("items").alias("items"))
     left = full.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = full.select(F.col("id").alias("b"), F.col("items").alias("y"))
     checked = pairs.join(left, "a").join(right, "b")
     checked = checked.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size("x").alias("na"), F.size("y").alias("nb"))
     checked = checked.withColumn("score", score_of(F.col("shared"), F.col("na"), F.col("nb")))
-    return checked.where((F.col("shared") >= least_shared) & (F.col("score") >= threshold)).select("a", "b", "score", "shared"), classes.withColumnRenamed("id", key)
+    scored = checked.where((F.col("shared") >= least_shared) & (F.col("score") >= threshold)).select("a", "b", "score", "shared")
+    return scored, chosen.select(F.col("id").alias(key), "rep", F.col("digest.size").alias("size"))
 
 
 def duplicate_pairs(prints: DataFrame, key: str = "page_id") -> DataFrame:

@@ -38,9 +38,9 @@ def corpus(seed, n=250):
 def test_pairs_are_brute_force(spark, seed):
     sets = corpus(seed)
     frame = spark.createDataFrame([(i, sorted(s), [1], "x") for i, s in sets.items()] + [(0, sorted(sets[0]), [1], "x"), (None, [1], None, None), (900, None, None, None), (901, [], None, None)], "page_id long, shingles array<long>, winnow array<long>, rep string")
-    got = {tuple(r) for r in neardup.duplicate_pairs(frame).collect()}
+    got = sorted(tuple(r) for r in neardup.duplicate_pairs(frame).collect())
     wanted = brute(sets)
-    assert got <= wanted and len(got) >= 0.99 * len(wanted)
+    assert len(got) == len(set(got)) and set(got) <= wanted and len(got) >= 0.99 * len(wanted)
     classes = {r["page_id"]: r for r in neardup.duplicate_classes(frame).collect()}
     assert set(classes) == set(sets) and all(sets[i] == sets[r["class_id"]] for i, r in classes.items())
 
@@ -76,3 +76,29 @@ def test_signatures_of_equal_sets_are_equal():
     values = np.arange(30, dtype=np.int64) * 977
     keys, check = neardup.signatures(np.concatenate([values, values, values[:5]]), np.array([0, 30, 60, 65]))
     assert (keys[0] == keys[1]).all() and (check[0] == check[1]).all() and not (keys[0] == keys[2]).all()
+
+
+def test_repeated_keys_count_once_with_their_largest_set(spark):
+    a, b, c = list(range(100)), list(range(98)) + [500, 501], list(range(1000, 1150))
+    schema = "page_id long, shingles array<long>"
+    listed = lambda rows: sorted(tuple(r) for r in neardup.duplicate_pairs(spark.createDataFrame(rows, schema)).collect())
+    assert listed([(1, a), (1, a), (2, b)]) == [(1, 2)]
+    assert listed([(1, a), (1, c), (2, b)]) == []
+    assert listed([(1, a), (1, c), (1, c), (2, b), (3, c), (3, c[:5]), (4, b), (4, b)]) == [(1, 3), (2, 4)]
+    classes = neardup.duplicate_classes(spark.createDataFrame([(1, a), (1, c), (1, c), (2, b), (3, c), (4, a)], schema))
+    assert sorted(tuple(r) for r in classes.collect()) == [(1, 1, 0), (2, 2, 1), (3, 1, 0), (4, 4, 1)]
+
+
+def test_a_key_with_a_third_of_all_rows(spark):
+    sets = corpus(5, 60)
+    rows = [(i, sorted(s)) for i, s in sets.items()] + [(0, sorted(sets[0]))] * 3000
+    got = sorted(tuple(r) for r in neardup.duplicate_pairs(spark.createDataFrame(rows, "page_id long, shingles array<long>")).collect())
+    assert set(got) <= brute(sets) and len(got) == len(set(got)) >= 0.99 * len(brute(sets))
+
+
+def test_sets_are_hashed_once(spark, data):
+    """The plan of what follows the saved signatures holds no hashing of sets."""
+    frame = spark.read.parquet(f"{data}/fingerprints.parquet")
+    found = neardup.candidate_pairs(frame, "page_id", "shingles")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "fingerprints.parquet" not in plan
