@@ -124,7 +124,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, seed: int = 1) -> tuple[
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, many, size, bands, signature) of (id, many, items): each set is hashed once."""
+    """(id, digest, size, bands, signature) of (id, digest, items): each set is hashed once."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -135,7 +135,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(offsets) - 1
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
             check_bytes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BATCH * BATCHES), n, [None, pa.py_buffer(check.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int32)), bands, check_bytes], ["id", "many", "size", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int32)), bands, check_bytes], ["id", "digest", "size", "bands", "signature"])
 
 
 def _pairs_in_runs(miss: float, threshold: float, least_shared: int):
@@ -195,18 +195,22 @@ def _pairs_in_runs(miss: float, threshold: float, least_shared: int):
     return run
 
 
-def candidate_pairs(sets: DataFrame, key: str, items: str, miss: float = MISS, threshold: float = THRESHOLD, least_shared: int = SHARED, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
-    """Distinct (a, b), a < b, that share a band and survive the posterior bounds.
+_SIGNED = "id long, digest struct<size:int,h:bigint,g:int,k:bigint>, size int, bands array<long>, signature binary"
 
-    Rows of one key must hold one set; where a column ``many`` is true the key may have
-    several of them, which count once.
-    """
-    scratch = scratch or Scratch(sets.sparkSession)
-    many = F.col("many") if "many" in sets.columns else F.lit(True)
-    rows = sets.select(F.col(key).cast("long").alias("id"), many.alias("many"), F.col(items).alias("items")).where("id is not null and size(items) > 0")
-    signed = scratch.save(rows.mapInArrow(_signed, "id long, many boolean, size int, bands array<long>, signature binary"))
-    once = signed.where("many").groupBy("id").agg(*[F.first(c).alias(c) for c in ("size", "bands", "signature")])
-    signed = signed.where("not many").drop("many").unionByName(once)
+
+def digested(sets: DataFrame, key: str, items: str) -> DataFrame:
+    """(id, items, digest) of the rows with a key and a set; equal digests stand for equal sets."""
+    rows = sets.select(F.col(key).cast("long").alias("id"), F.array_sort(F.col(items)).alias("items")).where("id is not null and size(items) > 0")
+    return rows.withColumn("digest", F.struct(F.size("items").alias("size"), F.xxhash64("items").alias("h"), F.hash("items").alias("g"), F.xxhash64(F.lit(7), "items").alias("k")))
+
+
+def signed_sets(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``digested`` rows with their signatures instead of their sets, hashed where they are read and written once."""
+    return scratch.save(rows.select("id", "digest", "items").mapInArrow(_signed, _SIGNED))
+
+
+def candidate_pairs(signed: DataFrame, miss: float = MISS, threshold: float = THRESHOLD, least_shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+    """Distinct (a, b), a < b, of ids that share a band and survive the posterior bounds; one row an id."""
     blocked = split_buckets(signed.select("id", "size", "signature", F.explode("bands").alias("band")), block)
     ordered = blocked.repartition("bucket").sortWithinPartitions("bucket", "size")
     pairs = ordered.select("bucket", "id", "size", "side", "signature").mapInArrow(_pairs_in_runs(miss, threshold, least_shared), "a long, b long")
@@ -245,25 +249,25 @@ def near_duplicates(prints: DataFrame, key: str = "page_id", items: str = "shing
     set (of equally large ones, the one with the greatest hash). Sets must be free of repeats.
     """
     scratch = Scratch(prints.sparkSession)
-    rows = prints.select(F.col(key).cast("long").alias("id"), F.array_sort(F.col(items)).alias("items")).where("id is not null and size(items) > 0")
-    digest = F.struct(F.size("items").alias("size"), F.xxhash64("items").alias("h"), F.hash("items").alias("g"), F.xxhash64(F.lit(7), "items").alias("k"))
-    rows = rows.withColumn("digest", digest)
-    # Each key's one set, and whether the key has more rows than one.
-    chosen = rows.groupBy("id").agg(F.max("digest").alias("digest"), (F.count("*") > 1).alias("many"))
+    rows = digested(prints, key, items)
+    signed = signed_sets(rows, scratch)
+    chosen = signed.groupBy("id").agg(F.max("digest").alias("digest"))
     heads = chosen.groupBy("digest").agg(F.min("id").alias("rep"))
-    chosen = scratch.save(chosen.join(heads, "digest").select("id", "rep", "digest", "many"))
-    reps = chosen.where("id = rep").select("id", "digest", "many")
-    pairs = scratch.save(candidate_pairs(rows.join(reps, ["id", "digest"]), "id", "items", miss, threshold, least_shared, scratch=scratch))
+    classes = scratch.save(chosen.join(heads, "digest").select("id", "rep", F.col("digest.size").alias("size")))
+    reps = classes.where("id = rep").select("id")
+    # Rows of one id are reduced before they move, so an id may have any share of all rows.
+    once = signed.groupBy("id").agg(F.max_by(F.struct("size", "bands", "signature"), "digest").alias("s")).select("id", "s.*")
+    pairs = scratch.save(candidate_pairs(scratch.save(once.join(reps, "id", "left_semi")), miss, threshold, least_shared))
     # Only sets that are part of a candidate travel to the exact check, each once.
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = rows.join(reps.join(needed, "id", "left_semi"), ["id", "digest"]).groupBy("id").agg(F.first("items").alias("items"))
+    full = rows.join(needed, "id", "left_semi").groupBy("id").agg(F.max_by("items", "digest").alias("items"))
     left = full.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = full.select(F.col("id").alias("b"), F.col("items").alias("y"))
     checked = pairs.join(left, "a").join(right, "b")
     checked = checked.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size("x").alias("na"), F.size("y").alias("nb"))
     checked = checked.withColumn("score", score_of(F.col("shared"), F.col("na"), F.col("nb")))
     scored = checked.where((F.col("shared") >= least_shared) & (F.col("score") >= threshold)).select("a", "b", "score", "shared")
-    return scored, chosen.select(F.col("id").alias(key), "rep", F.col("digest.size").alias("size"))
+    return scored, classes.withColumnRenamed("id", key)
 
 
 def duplicate_pairs(prints: DataFrame, key: str = "page_id") -> DataFrame:

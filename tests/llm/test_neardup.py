@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lorewell.llm import neardup
+from lorewell.session import Scratch
 
 
 def brute(sets):
@@ -49,8 +50,9 @@ def test_block_pairs_compare_the_same(spark):
     base = list(range(300))
     sets = {i: sorted(base[: 300 - i % 7] + [10_000 + i]) for i in range(60)}
     frame = spark.createDataFrame([(i, s) for i, s in sets.items()], "id long, items array<long>")
-    whole = {tuple(r) for r in neardup.candidate_pairs(frame, "id", "items").collect()}
-    blocks = {tuple(r) for r in neardup.candidate_pairs(frame, "id", "items", block=8).collect()}
+    signed = neardup.signed_sets(neardup.digested(frame, "id", "items"), Scratch(spark))
+    whole = {tuple(r) for r in neardup.candidate_pairs(signed).collect()}
+    blocks = {tuple(r) for r in neardup.candidate_pairs(signed, block=8).collect()}
     assert whole == blocks and len(whole) == 60 * 59 // 2
 
 
@@ -99,6 +101,8 @@ def test_a_key_with_a_third_of_all_rows(spark):
 def test_sets_are_hashed_once(spark, data):
     """The plan of what follows the saved signatures holds no hashing of sets."""
     frame = spark.read.parquet(f"{data}/fingerprints.parquet")
-    found = neardup.candidate_pairs(frame, "page_id", "shingles")
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and "fingerprints.parquet" not in plan
+    pairs, _ = neardup.near_duplicates(frame)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    signed = neardup.signed_sets(neardup.digested(frame, "page_id", "shingles"), Scratch(spark))
+    banded = neardup.candidate_pairs(signed)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and banded.count("MapInArrow") == 1 and "fingerprints.parquet" not in banded
