@@ -3,18 +3,24 @@
 Method: a recurrent block labeller. A document is a sequence of leaves: the excerpt split
 at its constructs, each with the path of constructs open around it, then the normalised
 text in runs of ``LEAF`` words. A numpy bidirectional LSTM reads hashed vectors of the
-paths and words and labels every leaf with the context of the whole document. What it
-labels is then checked exactly: an excerpt by the grammar of the four markups, a
-normalised text by splitting its words at names of tags, attributes, entities, commands
-and templates, where what is left must be words of the corpus.
-
-The model is trained on a bounded sample of pages (``SAMPLE``): their excerpts labelled by
-the grammar, and their normalised texts before and after markup is put in and normalised
-again, so the labels are known. Names of templates and the like are read from all excerpts.
+paths and words and labels every leaf with the context of the whole document. Words that
+may be a name with another word glued on carry a sign of what the corpus says about it
+(``hint``), which the model reads beside them. A leaf is marked up from a chance of one
+half; what is labelled is then checked exactly: an excerpt's leaf must overlap a construct
+of the grammar, a normalised text's leaf must hold a word with a hint.
+
+The same labels drive the cleaning: constructs of marked leaves are rendered as text that
+keeps headings, list items, code and formulas, and glued words lose the names.
+
+The model is trained on a bounded sample of pages (``SAMPLE``): their excerpts with and
+without constructs put in, labelled by the grammar, and their normalised texts before and
+after markup is put in and normalised again, so the labels are known. Names of templates
+and the like are read from all excerpts, word counts from all normalised texts.
 """
 
 from __future__ import annotations
 
+import html
 import pickle
 import re
 import zlib
@@ -28,12 +34,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lorewell.session import Scratch
 
-#: Pages the labeller is trained on at most, words of a leaf, and constructs of the excerpts it is trained on at most.
-SAMPLE, LEAF, CONSTRUCTS = 900, 8, 5000
+#: Pages the labeller is trained on at most, words of a leaf of norms and of excerpts, and construct texts it is trained on at most.
+SAMPLE, LEAF, LONG_LEAF, CONSTRUCTS = 900, 8, 24, 5000
+#: Distinct names that are held by the driver and each worker; more are an error, none is left out.
+MOST_NAMES = 1_000_000
 #: Hash slots, width of leaf vectors, width of each LSTM direction.
 SLOTS, WIDTH, HIDDEN = 1 << 15, 24, 16
-#: Chance from which a leaf is checked exactly, and from which a name that is also an everyday word or code counts.
-CHANCE, CONFIDENT = 1e-5, 0.3
+#: Chance from which a leaf is marked up.
+CHANCE = 0.5
+#: Times a hint is read, so that it is not lost among a leaf's words.
+REPEAT = 6
+#: Share of all norms from which a word is too common to be a short rest with a name glued on.
+COMMON = 0.004
 
 # Element, attribute, entity and command names common in such texts.
 TAGS = """a abbr article aside b big blockquote body br caption center cite code col dd del details div dl dt em
@@ -142,7 +154,8 @@ def excerpt_leaves(text: str | None) -> list[tuple[list[str], int, int]]:
         elif sign:
             around = _class(text[begin - 1 : begin]) + _class(text[signs[begin] : signs[begin] + 1])
             paired = "2" if text.count(sign) > 1 else "1"
-            tokens = [f"sign:{name}", f"sign:{name}:{around}", f"sign:{name}:{paired}:{around}"]
+            kind = "entity" if name[0] == "&" else "command" if name[0] == "\\" and len(name) > 1 else "mark"
+            tokens = [f"kind:{kind}", f"sign:{name}", f"sign:{name}:{around}", f"sign:{name}:{paired}:{around}"]
             if sign in path:
                 path.remove(sign)
                 tokens.append(f"close:{name}")
@@ -150,9 +163,15 @@ def excerpt_leaves(text: str | None) -> list[tuple[list[str], int, int]]:
                 path.append(sign)
         else:
             tokens = []
-        tokens += [f"path:{p}" for p in path[-4:]]
-        tokens += [f"w:{w.lower()}" for w in text[signs.get(begin, begin) : end].split()[:24]]
-        leaves.append((tokens, begin, end))
+        around = [f"path:{p}" for p in dict.fromkeys(path)]
+        words = list(re.finditer(r"\S+", text[signs.get(begin, begin) : end]))
+        shift = signs.get(begin, begin)
+        # Long texts between two signs become several leaves; only the first holds the sign.
+        for at in range(0, max(len(words), 1), LONG_LEAF):
+            part = words[at : at + LONG_LEAF]
+            till = end if at + LONG_LEAF >= len(words) else shift + words[at + LONG_LEAF].start()
+            leaves.append((tokens + around + [f"w:{w[0].lower()}" for w in part], begin, till))
+            tokens, begin = ["goes on:"], till
     return leaves
 
 
@@ -160,9 +179,12 @@ def _class(char: str) -> str:
     return "-" if not char else "s" if char.isspace() else "d" if char.isdigit() else "a" if char.isalpha() else "p"
 
 
-def norm_leaves(norm: str | None) -> list[list[str]]:
-    words = norm.split() if norm else []
-    return [words[i : i + LEAF] for i in range(0, len(words), LEAF)]
+def norm_leaves(words: list[str], known: dict[int, tuple[str, str]]) -> list[list[str]]:
+    """Leaves of a norm's words; ``known`` holds hints by position, each read as a token of its own."""
+    leaves = [words[i : i + LEAF] for i in range(0, len(words), LEAF)]
+    for at, (kind, _) in known.items():
+        leaves[at // LEAF] = [*leaves[at // LEAF], f"kind:{kind}", *["hint:name" if kind == "plain" else "hint:markup"] * REPEAT]
+    return leaves
 
 
 def features(token: str, frequent: bool) -> np.ndarray:
@@ -173,7 +195,7 @@ def features(token: str, frequent: bool) -> np.ndarray:
         bare = re.sub(r"\d+", "9", token)
         n = len(bare)
         keys += [f"<{bare[:k]}" for k in (2, 3, 4, 5, 6) if k <= n] + [f"{bare[-k:]}>" for k in (1, 2, 3, 4, 5, 6) if k <= n]
-        keys += [f"~{bare[i : i + 4]}" for i in range(0, min(n - 3, 40))] + [f"#{min(n, 12)}"]
+        keys += [f"~{bare[i : i + 4]}" for i in range(n - 3)] + [f"#{min(n, 12)}"]
     return np.array([zlib.crc32(k.encode()) % SLOTS for k in keys], dtype=np.int64)
 
 
@@ -400,6 +422,24 @@ def _put(words: list[str], flags: list[int], raw: str, rng: np.random.Generator,
     return words[: max(0, i - 1)] + made + words[i + k + 1 :], flags[: max(0, i - 1)] + fresh + flags[i + k + 1 :]
 
 
+#: Constructs put into excerpts beside the mined ones; \0 stands for the words around which they are put.
+_SHAPES = ("**\0**", "__\0__", "*\0*", "_\0_", "~~\0~~", "''\0''", "'''\0'''", "== \0 ==", "=== \0 ===", "`\0`", "[\0](page.md)", "![\0](img/a.png)", "[[\0]]", "[[\0|b]]",
+           "<!-- \0 -->", "$x_1 = \\alpha$", "[^1]", "[https://a.example \0]", "{{note|\0}}", "<https://a.example>")
+
+
+def _put_in_excerpt(text: str, raws: list[str], rng: np.random.Generator) -> str:
+    """An excerpt with one or two constructs put around one to four of its words, or a sign put before all."""
+    words = text.split(" ")
+    for _ in range(int(rng.integers(1, 3))):
+        i, k = int(rng.integers(0, len(words))), int(rng.integers(1, 5))
+        raw = raws[rng.integers(0, len(raws))] if rng.random() < 0.5 else _SHAPES[rng.integers(0, len(_SHAPES))]
+        inner = " ".join(words[i : i + k])
+        glue = " " if rng.random() < 0.6 else ""
+        words[i : i + k] = [raw.replace("\0", inner) if "\0" in raw else inner + glue + raw if rng.random() < 0.5 else raw + glue + inner]
+    start = rng.random()
+    return ("# " if start < 0.03 else "- " if start < 0.06 else "> " if start < 0.09 else "") + " ".join(words)
+
+
 def _raw_constructs(mined: list[str], rng: np.random.Generator, n: int) -> list[str]:
     """Constructs for training: those mined from excerpts, and others from the fixed names."""
     made = list(mined)
@@ -447,55 +487,56 @@ def mined_constructs(excerpts: list[str]) -> list[str]:
     return sorted(found.values())
 
 
-def train(pages: list[tuple[str | None, str | None]], mined: list[str], names: frozenset[str], telling: frozenset[str], seed: int = 1) -> Labeller:
+def train(pages: list[tuple[str | None, str | None]], mined: list[str], hints, seed: int = 1) -> Labeller:
     """The labeller fitted on (excerpt, norm) of sampled pages.
 
-    Pages may hold residue nobody marked, so of their own leaves only those are learned
-    from that no word makes doubtful: none is a rare word with a name glued to a frequent
-    one. Leaves with telling names count as marked.
+    ``hints`` gives the hints of lists of words, as ``hint`` states them. Pages may hold
+    residue nobody marked, so of their own leaves those with a hint that is no everyday word
+    count as marked, and those with several words that a mined construct leaves in a row.
     """
     rng = np.random.default_rng(seed)
     raws = _raw_constructs(mined * max(1, 1200 // max(len(mined), 1)), rng, 200)
+    runs = {run for raw in mined for run in [normalise(raw.replace("\0", " \n "))] if len(run.split()) > 1}
     counts = Counter(w for _, norm in pages if norm for w in set(norm.split()))
     frequent = frozenset(w for w, n in counts.items() if n >= max(3, 0.004 * len(pages)))
-
-    @lru_cache(maxsize=None)
-    def doubt(word: str) -> int:
-        if word in frequent:
-            return 0
-        found = splits(word, names, telling)
-        if ("", 0) in found:
-            return 2 if word not in names or word in telling else 1
-        return int(word in names or any(part in frequent for part, _ in found))
-
-    documents, labels = [], []
+    heads, changed, put_in = [], [], []
+    copies = min(40, max(1, SAMPLE // max(len(pages), 1)))  # small tables give as many training texts as large ones
     for excerpt, norm in pages:
-        spans = constructs(excerpt)
-        head = [(tokens, int(any(a < end and begin < b for a, b, _ in spans))) for tokens, begin, end in excerpt_leaves(excerpt)]
         words = norm.split() if norm else []
-        worst = [doubt(w) for w in words]
-        for put in range(2):
-            changed, flags = list(words), [(0, -1, 1)[d] for d in worst]
+        for put in range(1 + copies):
+            shown, now, flags = excerpt, list(words), [0] * len(words)
+            if put and excerpt and excerpt.strip():
+                shown = _put_in_excerpt(excerpt, raws, rng)
             if put and words:
                 for _ in range(max(3, min(12, len(words) // 40))):
                     raw = raws[rng.integers(0, len(raws))]
-                    changed, flags = _put(changed, flags, raw, rng, frozenset(construct_names(raw)))
-            marks = []
-            for i in range(0, len(changed), LEAF):
-                part = flags[i : i + LEAF]
-                # A lone name may be an everyday word: alone it settles nothing, next to others it is read with them.
-                marks.append(1 if 1 in part else -1 if any(f < 0 and w not in frequent for f, w in zip(part, changed[i : i + LEAF])) else 0)
-            documents.append([t for t, _ in head] + [changed[i : i + LEAF] for i in range(0, len(changed), LEAF)])
-            labels.append([m for _, m in head] + marks)
+                    now, flags = _put(now, flags, raw, rng, frozenset(construct_names(raw)))
+            heads.append(shown)
+            changed.append(now)
+            put_in.append(flags)
+    documents, labels = [], []
+    for excerpt, words, flags, known in zip(heads, changed, put_in, hints(changed)):
+        spans = constructs(excerpt)
+        head = [(tokens, int(any(a < end and begin < b for a, b, _ in spans))) for tokens, begin, end in excerpt_leaves(excerpt)]
+        leaves, marks = norm_leaves(words, known), []
+        for i in range(0, len(words), LEAF):
+            kinds = {known.get(at, ("", ""))[0] for at in range(i, min(i + LEAF, len(words)))}
+            around = f" {' '.join(words[max(0, i - 1) : i + LEAF + 1])} "
+            # A lone name may be an everyday word: in a page's own text it is taken for one.
+            marks.append(int(1 in flags[i : i + LEAF] or bool(kinds & {"sure", "inside", "glued"}) or ("plain" in kinds and any(f" {run} " in around for run in runs))))
+        documents.append([t for t, _ in head] + leaves)
+        labels.append([m for _, m in head] + marks)
     return Labeller(frequent, seed).fit(documents, labels, epochs=4, seed=seed)
 
 
 # -- exact checks -----------------------------------------------------------------------
 
 
-def splits(word: str, names: frozenset[str], telling: frozenset[str]) -> list[tuple[str, int]]:
+def splits(word: str, names: frozenset[str], telling: frozenset[str]) -> list[tuple[str, int, str, str]]:
     """Ways to read a word as a name with another word glued on: (that word, how many times
-    more common it must be than the whole). ('', 0) needs no look-up.
+    more common it must be than the whole, what is left without the name, kind). The kinds
+    are 'sure' for a telling name and 'plain' for a name that is an everyday word, which need
+    no look-up, 'inside' for a telling name inside a word and 'glued' for one at its end.
 
     Names of entities and commands can be glued on anywhere; a tag's name only to the end of
     the word before it, as its closing sign leaves a space; the tags s, a, q and u are too
@@ -503,16 +544,17 @@ def splits(word: str, names: frozenset[str], telling: frozenset[str]) -> list[tu
     """
     bare = word.strip("0123456789")
     if (word in names and len(word) > 1) or bare in telling or (bare in names and len(bare) > 2):
-        return [("", 0)]
+        return [("", 0, "", "plain" if is_plain(word, names, telling) else "sure")]
     longest = _longest(telling)
     inside = {word[i:j] for i in range(len(word)) for j in range(i + 1, min(len(word), i + longest) + 1)} & telling
     if inside:
-        left = re.split("|".join(sorted(map(re.escape, inside), key=len, reverse=True)), word)
-        left = [p for p in (x.strip("0123456789") for x in left) if p]
-        return [(p, 1) for p in left] if any(len(p) > 2 for p in left) else [("", 0)]
+        parts = [p for p in re.split("|".join(sorted(map(re.escape, inside), key=len, reverse=True)), word) if p]
+        rest = " ".join(parts)
+        left = [p for p in (x.strip("0123456789") for x in parts) if p]
+        return [(p, 1, rest, "inside") for p in left] if any(len(p) > 2 for p in left) else [("", 0, rest, "plain" if is_plain(word, names, telling) else "sure")]
     glued = [(word[:i], n) for i in range(len(word)) if (n := word[i:]) in names and n not in ("s", "a", "q", "u")]
     # Short rests and single letters need more: random letters make such words too.
-    return [(p, (20 if len(p) == 2 else 1) if len(n) > 1 else 20 if len(p) == 3 else 3) for p, n in glued if len(p) > 2 or (len(p) == 2 and len(n) > 1)]
+    return [(p, (20 if len(p) == 2 else 1) if len(n) > 1 else 20 if len(p) == 3 else 3, p, "glued") for p, n in glued if len(p) > 2 or (len(p) == 2 and len(n) > 1)]
 
 
 @lru_cache(maxsize=8)
@@ -530,37 +572,175 @@ def coded(word: str, following: str) -> bool:
     return len(word) == 2 and re.match(r"\d{3}", following) is not None
 
 
-_PREDICTED = "page_id long, field string, word string, part string, times int"
+def is_plain(word: str, names: frozenset[str], telling: frozenset[str]) -> bool:
+    """Whether a name is an everyday word, or one that excerpts without constructs hold as well."""
+    return everyday(word) or (len(word) >= 4 and word in names and word not in telling)
+
+
+def hint(word: str, names: frozenset[str], telling: frozenset[str], docs: dict[str, int], common: float) -> tuple[str, str] | None:
+    """(kind, rest) of one word by the counts of norms that hold it and its parts: 'inside' and
+    'glued' only if what is left without the name is a word more common than the whole. None
+    for other words."""
+    own = max(docs.get(word, 0), 1)
+    held = [(docs.get(part, 0), rest, kind) for part, times, rest, kind in splits(word, names, telling) if not times or (docs.get(part, 0) >= times * own + times and (times < 20 or own < common))]
+    return max(held)[:0:-1] if held else None
+
+
+def placed(words: list[str], known: dict[str, tuple[str, str]]) -> dict[int, tuple[str, str]]:
+    """Hints of a norm's words by position; two letters that are a code have none."""
+    return {i: known[w] for i, w in enumerate(words) if w in known and not coded(w, words[i + 1] if i + 1 < len(words) else "")}
+
+
+def _doubtful(names: frozenset[str], telling: frozenset[str]):
+    """(page_id, word) of the words of each norm that can be read as a name with something glued on."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doubt = lru_cache(maxsize=1 << 17)(lambda word: bool(splits(word, names, telling)))
+        for batch in batches:
+            pages, words = [], []
+            for page, norm in zip(batch["page_id"], batch["norm"]):
+                found = [w for w in set(norm.split()) if doubt(w)]
+                pages += [page] * len(found)
+                words += found
+            yield pd.DataFrame({"page_id": np.array(pages, np.int64), "word": words})
+
+    return run
+
+
+def _readings(names: frozenset[str], telling: frozenset[str]):
+    """(word, own, kind, part, times, rest) of each reading of distinct words."""
 
-def _predict(model_bytes, names: frozenset[str], telling: frozenset[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for word, own in zip(batch["word"], batch["own"]):
+                rows += [(word, own, kind, part, times, rest) for part, times, rest, kind in splits(word, names, telling)]
+            yield pd.DataFrame(rows, columns=["word", "own", "kind", "part", "times", "rest"])
+
+    return run
+
+
+_LABELLED = "page_id long, in_excerpt boolean, in_norm boolean, excerpt string, norm string"
+
+
+def _predict(model_bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = pickle.loads(model_bytes.value)
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 batch = whole.iloc[at : at + 1024]
                 heads = [excerpt_leaves(x) for x in batch["excerpt"]]
-                tails = [norm_leaves(x) for x in batch["norm"]]
-                chances = model.chances([[t for t, _, _ in h] + n for h, n in zip(heads, tails)])
+                norms = [x.split() if x else [] for x in batch["norm"]]
+                hints = [placed(words, {h["word"]: (h["kind"], h["rest"]) for h in known} if known is not None else {}) for words, known in zip(norms, batch["hints"])]
+                chances = model.chances([[t for t, _, _ in h] + norm_leaves(words, known) for h, words, known in zip(heads, norms, hints)])
                 rows = []
-                for page, excerpt, head, tail, chance in zip(batch["page_id"], batch["excerpt"], heads, tails, chances):
-                    hit = [(b, e) for (_, b, e), c in zip(head, chance) if c >= CHANCE]
-                    if hit:
-                        spans = constructs(excerpt)
-                        if any(a < e and b < z for b, e in hit for a, z, _ in spans):
-                            rows.append((page, "excerpt", "", "", 0))
-                    flat = [w for leaf in tail for w in leaf]
-                    for k, (leaf, c) in enumerate(zip(tail, chance[len(head) :])):
-                        if c >= CHANCE:
-                            for j, word in enumerate(leaf, k * LEAF):
-                                plain = everyday(word) or (len(word) >= 4 and word in names and word not in telling)
-                                if (c >= CONFIDENT or not plain) and not coded(word, flat[j + 1] if j + 1 < len(flat) else ""):
-                                    rows += [(page, "norm", word, *reading) for reading in splits(word, names, telling) if reading[1] < 20 or word not in model.frequent]
-                yield pd.DataFrame(rows, columns=["page_id", "field", "word", "part", "times"])
+                for page, excerpt, norm, head, words, known, chance in zip(batch["page_id"], batch["excerpt"], batch["norm"], heads, norms, hints, chances):
+                    marked = [(b, e) for (_, b, e), c in zip(head, chance) if c >= CHANCE]
+                    spans = [x for x in constructs(excerpt) if any(b < x[1] and x[0] < e for b, e in marked)] if marked else []
+                    tail = chance[len(head) :]
+                    changed = {i: rest for i, (_, rest) in known.items() if tail[i // LEAF] >= CHANCE}
+                    clean = " ".join(filter(None, (changed.get(i, w) for i, w in enumerate(words)))) if changed else norm
+                    rows.append((page, bool(spans), bool(changed), rendered(excerpt, spans) if spans else excerpt, clean))
+                yield pd.DataFrame(rows, columns=["page_id", "in_excerpt", "in_norm", "excerpt", "norm"])
 
     return run
 
 
+# -- cleaning ---------------------------------------------------------------------------
+
+#: Tags whose text starts a line of its own, and commands whose argument is no text.
+_HEADINGS = {f"h{n}": "#" * n + " " for n in range(1, 7)}
+_SECTIONS = {"section": "# ", "subsection": "## ", "subsubsection": "### ", "paragraph": "#### "}
+_NO_TEXT = frozenset("cite citep citet ref label bibitem includegraphics usepackage vspace hspace begin end noindent".split())
+
+
+def rendered(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """A text with the constructs of ``spans`` rendered as plain text.
+
+    Headings, list items, code and formulas stay as Markdown, whatever markup they came from;
+    links, emphasis, tags and templates leave the text they wrap, entities the sign they
+    stand for, table rows their cells with tabs between them; references, comments and
+    templates without a text leave nothing. Constructs may be nested.
+    """
+    out, at = [], 0
+    for begin, end, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if begin < at:
+            continue
+        inside = [(a - begin, b - begin, k) for a, b, k in spans if begin <= a and b <= end and (a, b, k) != (begin, end, kind)]
+        out += [text[at:begin], _shown(text[begin:end], kind, inside)]
+        at = end
+    found = "".join([*out, text[at:]])
+    return re.sub(r"[ ]{2,}", " ", found).strip() if spans else text
+
+
+def _shown(raw: str, kind: str, inside: list[tuple[int, int, str]]) -> str:
+    def within(begin: int, end: int) -> str:
+        """The part of a construct from ``begin`` to ``end``, with what is nested in it rendered."""
+        nested = [(a - begin, b - begin, k) for a, b, k in inside if begin <= a and b <= end]
+        return rendered(raw[begin:end], nested) if nested else raw[begin:end]
+
+    def group(pattern: str) -> str:
+        m = re.match(pattern, raw, re.S)
+        return within(*m.span(1)) if m else raw
+
+    if kind in ("code", "formula", "heading", "list"):
+        return raw
+    if kind in ("comment", "wiki_table"):
+        return ""
+    if kind == "tag":
+        return _shown_tag(raw)
+    if kind == "entity":
+        return html.unescape(raw)
+    if kind == "autolink":
+        return raw[1:-1]
+    if kind == "template":
+        parts = raw.strip("{}").split("|")[1:]
+        texts = [p.strip() for p in parts if "=" not in p and p.strip()]
+        return texts[-1] if texts else ""
+    if kind in ("image", "link"):
+        return "" if raw.startswith("[^") else group(r"!?\[([^\[\]]*)\]")
+    if kind == "wiki_link":
+        return group(r"!?\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]$")
+    if kind == "external_link":
+        return group(r"\[\S+?(?: ([^\]]*))?\]$") if " " in raw else raw[1:-1]
+    if kind == "command":
+        name = re.match(r"\\([A-Za-z]+)", raw)[1]
+        arguments = [m.span(1) for m in re.finditer(r"\{([^{}]*)\}", raw)]
+        if name == "item":
+            return "\n- "
+        if name in _NO_TEXT or not arguments:
+            return "" if name in _NO_TEXT or name in COMMANDS else raw
+        return ("\n" + _SECTIONS[name] if name in _SECTIONS else "") + within(*arguments[-1])
+    if kind == "wiki_heading":
+        level = len(raw) - len(raw.lstrip("="))
+        return "#" * level + " " + group(r"=+\s*(.*?)\s*=+$")
+    if kind in ("wiki_quote", "strike", "strong", "emphasis"):
+        width = len(raw) - len(raw.lstrip(raw[0])) if kind == "wiki_quote" else 1 if kind == "emphasis" else 2
+        return within(width, len(raw) - width)
+    if kind == "quote":
+        # The span ends with the first sign of the quoted text.
+        return raw.lstrip("> ")
+    if kind == "table_row":
+        return "\t".join(rendered(c, constructs(c)).strip() for c in raw.strip("|").split("|"))
+    return raw[1:]  # an escaped sign
+
+
+def _shown_tag(raw: str) -> str:
+    name, closing = re.match(r"<(/?)([A-Za-z][A-Za-z0-9:]*)", raw).group(2, 1)
+    name = name.lower()
+    if name in _HEADINGS:
+        return "\n" if closing else "\n" + _HEADINGS[name]
+    if name == "li":
+        return "" if closing else "\n- "
+    if name in ("code", "kbd", "samp", "tt"):
+        return "`"
+    if name == "pre":
+        return "\n```\n"
+    if name == "math":
+        return "$"
+    return "\n" if name in ("br", "p", "div", "tr") and not closing and name == "br" else ""
+
+
 def mined_names(pages: DataFrame, most: int = CONSTRUCTS) -> tuple[list[str], frozenset[str], frozenset[str]]:
     """(constructs, names, telling names) of excerpts: the most frequent ``most`` construct texts, to train on, and all names.
 
@@ -572,7 +752,10 @@ def mined_names(pages: DataFrame, most: int = CONSTRUCTS) -> tuple[list[str], fr
     counted = raw.groupBy(shape.alias("shape")).agg(F.min("c").alias("c"), F.count("*").alias("n"))
     rows = [r["c"] for r in counted.orderBy(F.desc("n"), "shape").limit(most).collect()]
     mined = mined_constructs(rows)
-    seen = frozenset(r["n"] for r in pages.where(F.col("excerpt").rlike(r"[<&\\{]")).select(F.explode(_names("excerpt")).alias("n")).distinct().collect())
+    held = pages.where(F.col("excerpt").rlike(r"[<&\\{]")).select(F.explode(_names("excerpt")).alias("n")).distinct().limit(MOST_NAMES + 1).collect()
+    if len(held) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names of tags, attributes, entities, commands and templates")
+    seen = frozenset(r["n"] for r in held)
     names = seen | fixed_names()
     plain = pages.where(F.col("excerpt").isNotNull() & ~F.col("excerpt").rlike(r"[<>&\\{}]"))
     words = plain.select(F.explode(F.split(F.lower("excerpt"), r"[^\p{L}\p{N}]+")).alias("w")).distinct()
@@ -597,28 +780,60 @@ _ENGLISH = frozenset("""a alpha b col del footnote i id ins li ne p pi pre q ref
  reg sect thead trade""".split())
 
 
-def marked_fields(pages: DataFrame, stats: DataFrame, seed: int = 1, sample: int = SAMPLE) -> DataFrame:
-    """(page_id, field) of the excerpts that hold markup and the norms that hold names from it.
+def labelled_fields(pages: DataFrame, stats: DataFrame, seed: int = 1, sample: int = SAMPLE, labeller: Labeller | None = None) -> DataFrame:
+    """(page_id, in_excerpt, in_norm, excerpt, norm) of every page: whether its fields hold
+    markup, and the fields cleaned of it.
 
     Pages without a row in ``stats`` have no norm, and the reverse; null and empty fields
-    hold nothing. Repeated ids count once. Long fields are read whole.
+    hold nothing and stay as they are. A page is one row; of repeated ones that differ the
+    greatest text counts. Long fields are read whole. ``labeller`` is used instead of a trained one if given.
     """
     spark = pages.sparkSession
-    fields = pages.select("page_id", "excerpt").where("page_id is not null").join(stats.select("page_id", "norm").where("page_id is not null"), "page_id", "full")
-    fields = fields.select(F.col("page_id").cast("long").alias("page_id"), "excerpt", "norm")
     scratch = Scratch(spark)
+    one = lambda frame, c: frame.where("page_id is not null").groupBy("page_id").agg(F.max(c).alias(c))
+    fields = one(pages, "excerpt").join(one(stats, "norm"), "page_id", "full")
+    fields = scratch.save(fields.select(F.col("page_id").cast("long").alias("page_id"), "excerpt", "norm"))
     mined, names, telling = mined_names(pages)
-    chosen = fields.where("norm is not null or excerpt is not null").orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id").limit(sample).collect()
-    model = train([(r["excerpt"], r["norm"]) for r in chosen], mined, names, telling, seed)
-    sent = spark.sparkContext.broadcast(pickle.dumps(model))  # a fixed size, whatever the data
-    # A field longer than a block of leaves is still one sequence; words that need no look-up are settled here.
-    found = scratch.save(fields.mapInPandas(_predict(sent, names, telling), _PREDICTED))
-    sure = found.where("field = 'excerpt' or times = 0").select("page_id", "field")
-    # Glued words: what is left without the name must be a word, and more common than the glued one.
-    readings = scratch.save(found.where("times > 0").select("word", "part", "times").distinct())
-    asked = readings.select("word").union(readings.select(F.col("part").alias("word"))).distinct()
-    counts = fields.where("norm is not null").select(F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
-    known = scratch.save(asked.join(counts, "word"))
-    whole = readings.join(known.select("word", F.col("docs").alias("own")), "word")
-    glued = whole.join(known.select(F.col("word").alias("part"), "docs"), "part").where(F.col("docs") >= F.col("times") * F.col("own") + F.col("times")).select("word").distinct()
-    return sure.unionByName(found.where("times > 0").join(glued, "word").select("page_id", "field")).distinct()
+    norms = fields.where("norm is not null and norm <> ''")
+    total = norms.count()
+
+    # What the corpus says about words that may have a name glued on.
+    counts = scratch.save(norms.select(F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("docs")))
+    doubts = scratch.save(norms.select("page_id", "norm").mapInPandas(_doubtful(names, telling), "page_id long, word string"))
+    words = doubts.select("word").distinct().join(counts, "word").withColumnRenamed("docs", "own")
+    readings = scratch.save(words.mapInPandas(_readings(names, telling), "word string, own long, kind string, part string, times int, rest string"))
+    known = readings.where("times > 0").join(counts.select(F.col("word").alias("part"), "docs"), "part")
+    known = known.where((F.col("docs") >= F.col("times") * F.col("own") + F.col("times")) & ((F.col("times") < 20) | (F.col("own") < COMMON * total)))
+    known = known.groupBy("word").agg(F.max(F.struct("docs", "rest", "kind")).alias("r")).select("word", "r.kind", "r.rest")
+    hints = scratch.save(known.unionByName(readings.where("times = 0").select("word", "kind", "rest")))
+    # A page's hints are some of its own words.
+    held = doubts.distinct().join(hints, "word").groupBy("page_id").agg(F.collect_list(F.struct("word", "kind", "rest")).alias("hints"))
+    read = fields.join(held, "page_id", "left")
+
+    if labeller is None:
+        chosen = fields.where("norm is not null or excerpt is not null").orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id").limit(sample).collect()
+        labeller = train([(r["excerpt"], r["norm"]) for r in chosen], mined, lambda texts: _looked_up(counts, texts, names, telling, COMMON * total), seed)
+    sent = spark.sparkContext.broadcast(pickle.dumps(labeller))  # a fixed size, whatever the data
+    return scratch.save(read.mapInPandas(_predict(sent), _LABELLED))
+
+
+def _looked_up(counts: DataFrame, texts: list[list[str]], names: frozenset[str], telling: frozenset[str], common: float) -> list[dict[int, tuple[str, str]]]:
+    """Hints by position of the training texts; only the counts of their doubtful words and parts are fetched."""
+    doubtful = {w: r for w in {w for words in texts for w in words} if (r := splits(w, names, telling))}
+    asked = set(doubtful) | {part for r in doubtful.values() for part, times, _, _ in r if times}
+    frame = counts.sparkSession.createDataFrame(pd.DataFrame({"word": sorted(asked)}), "word string")
+    docs = {r["word"]: r["docs"] for r in counts.join(frame, "word").collect()}
+    known = {w: h for w in doubtful if (h := hint(w, names, telling, docs, common))}
+    return [placed(words, known) for words in texts]
+
+
+def marked_fields(pages: DataFrame, stats: DataFrame, seed: int = 1, sample: int = SAMPLE, labeller: Labeller | None = None) -> DataFrame:
+    """(page_id, field) of the excerpts that hold markup and the norms that hold names from it; each once."""
+    labelled = labelled_fields(pages, stats, seed, sample, labeller)
+    field = F.array_compact(F.array(F.when(F.col("in_excerpt"), "excerpt"), F.when(F.col("in_norm"), "norm")))
+    return labelled.select("page_id", F.explode(field).alias("field")).distinct()
+
+
+def clean_fields(pages: DataFrame, stats: DataFrame, seed: int = 1, sample: int = SAMPLE) -> DataFrame:
+    """(page_id, excerpt, norm): the texts of every page without markup, null where the field is null."""
+    return labelled_fields(pages, stats, seed, sample).select("page_id", "excerpt", "norm")

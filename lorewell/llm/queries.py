@@ -70,6 +70,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.marked_fields(table(spark, folder, "wiki_pages"), table(spark, folder, "page_stats"))
 
 
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_fields(table(spark, folder, "wiki_pages"), table(spark, folder, "page_stats"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(table(spark, folder, "documents"))
 
@@ -103,5 +107,5 @@ def p10_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_classes, p5_found, p5_counts, p6_found, p6_entities, p7_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_rates, p10_reasons)
+    f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_classes, p5_found, p5_counts, p6_found, p6_entities, p7_found, p7_clean, p8_ids, p9_mixture, p9_shares, p10_found, p10_rates, p10_reasons)
 }

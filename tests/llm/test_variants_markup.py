@@ -107,8 +107,8 @@ def test_gradient():
                 assert np.sign(flat[at]) == -np.sign(slope)
 
 
-def test_markup_held_out(spark, data):
-    """Recall and precision on constructs put into clean texts the model has not seen."""
+def marked_tables(spark):
+    """Pages with known markup: excerpts, clean norms and norms with one construct put in."""
     rng = np.random.default_rng(5)
     base = "the keepers cleaned the shelf of the northern gate before the fair because nobody had checked the binder at marwick and the crew stored every lantern".split()
     text = lambda n: " ".join(base[i] for i in rng.integers(0, len(base), n))
@@ -122,12 +122,38 @@ def test_markup_held_out(spark, data):
         at = int(rng.integers(5, 100))
         marked[i] = markup.normalise(" ".join(words[:at]) + " " + (raw.replace("\0", words[at]) if "\0" in raw else words[at] + raw) + " " + " ".join(words[at + 1 :]))
     stats = spark.createDataFrame([(i, t, "e") for i, t in {**clean, **marked}.items()] + [(300, "", "e"), (301, None, "e"), (302, text(30_000), "e")], "page_id long, norm string, word string")
-    got = {tuple(r) for r in markup.marked_fields(pages, stats).collect()}
+    return pages, stats, excerpts, marked
+
+
+def test_markup_held_out(spark):
+    """Recall and precision on constructs put into clean texts the model has not seen."""
+    pages, stats, excerpts, marked = marked_tables(spark)
+    got = [tuple(r) for r in markup.marked_fields(pages, stats).collect()]
     found = {p for p, f in got if f == "norm"}
+    assert len(got) == len(set(got))
     assert len(found & set(marked)) >= 0.9 * len(marked) and len(found - set(marked)) <= 3
     assert {p for p, f in got if f == "excerpt"} == {i for i, e in enumerate(excerpts) if e != "plain text here"}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_labeller_decides(spark, seed):
+    """With random weights the same pipeline finds other rows: the exact check alone decides nothing."""
+    pages, stats, excerpts, marked = marked_tables(spark)
+    wanted = {(i, "excerpt") for i, e in enumerate(excerpts) if e != "plain text here"} | {(i, "norm") for i in marked}
+    got = {tuple(r) for r in markup.marked_fields(pages, stats, labeller=markup.Labeller(frozenset(), seed)).collect()}
+    assert len(got & wanted) < 0.5 * len(wanted)
+
+
+def test_clean_fields(spark):
+    pages, stats, excerpts, marked = marked_tables(spark)
+    clean = {r["page_id"]: r for r in markup.clean_fields(pages, stats).collect()}
+    assert {clean[i]["excerpt"] for i, e in enumerate(excerpts) if e == "a <em>b</em> c"} == {"a b c"} and clean[5]["excerpt"] == "plain text here"
+    assert clean[900]["excerpt"] is None and clean[301]["norm"] is None and clean[300]["norm"] == ""
+    names = ("nbsp", "textbf", "spanclass", "classhl")
+    assert sum(any(n in clean[i]["norm"] for n in names) for i in marked) <= 0.1 * len(marked)
+    assert len(clean[302]["norm"].split()) >= 29_000
+
+
 def test_markup_empty(spark):
     pages = spark.createDataFrame([], "page_id long, excerpt string")
     stats = spark.createDataFrame([], "page_id long, norm string")
@@ -149,5 +175,8 @@ def test_names_of_all_excerpts(spark):
 def test_splits_like_a_search_of_all_names():
     names = frozenset(["em", "b", "textbf", "frac", "nbsp", "s"])
     telling = frozenset(["textbf", "frac", "nbsp"])
-    assert set(markup.splits("gatetextbfwall", names, telling)) == {("gate", 1), ("wall", 1)}
-    assert markup.splits("gateem", names, telling) == [("gate", 1)] and markup.splits("gates", names, telling) == []
+    assert set(markup.splits("gatetextbfwall", names, telling)) == {("gate", 1, "gate wall", "inside"), ("wall", 1, "gate wall", "inside")}
+    assert markup.splits("gateem", names, telling) == [("gate", 1, "gate", "glued")] and markup.splits("gates", names, telling) == []
+    docs = {"gate": 9, "gateem": 2, "lanternem": 9, "lantern": 3}
+    assert markup.hint("gateem", names, telling, docs, 5) == ("glued", "gate") and markup.hint("lanternem", names, telling, docs, 5) is None
+    assert markup.hint("textbf", names, telling, docs, 5) == ("sure", "") and markup.hint("em", names, telling, docs, 5)[0] == "plain"
