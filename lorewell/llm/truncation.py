@@ -1,17 +1,18 @@
 """Problem 10: texts that lost their end.
 
 Method: self-join by prefix. A value is cut where it is a strict prefix of a longer copy
-elsewhere. That is applied at three lengths: whole texts (hashed fixed-length prefixes,
-then the exact comparison), last words (a last word no text holds inside, but which begins
-a longer word of the corpus), and the last runs of one to three words (a run that the
-corpus always continues is the prefix of longer runs, never their end). Cut texts seldom
-have a longer copy of the whole text, so the shorter units find most cases.
-
-Two kinds of endings need no look-up: broken constructs (an open fence, link or table row,
-a broken character, an ellipsis set by an exporter) are cut, and terminal punctuation,
-closed fences and complete table rows are whole. What a writer may leave without a full
-stop is read from the corpus too: whether the text's other lines (or its source's texts)
-end without stops, and which beginnings mark closing lines (signatures, tags, sources).
+elsewhere. That is applied at three lengths: whole texts (those that share a hashed
+beginning, ordered, each compared with its successors), last words (a last word no text
+holds inside, but which begins a longer word of the corpus), and the last runs of one to
+three words (a run that the corpus always continues is the prefix of longer runs, never
+their end). Cut texts seldom have a longer copy of the whole text, so the shorter units
+find most cases.
+
+Some endings need no look-up: broken constructs (an open fence, link or table row, a broken
+character, an ellipsis set by an exporter) are cut, and terminal punctuation, closed fences
+and complete table rows are whole. Last lines without a stop whose runs are too rare for
+the join are cut if the text's other lines (or its source's texts) have stops. Which
+beginnings mark closing lines (signatures, tags, sources) is read from the corpus too.
 """
 
 from __future__ import annotations
@@ -20,11 +21,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
 
-#: Characters of the hashed prefix with which whole texts are paired.
+from lorewell.session import Scratch
+
+#: Characters of the hashed prefix that texts must share before they are ordered and compared.
 PREFIX = 48
+#: Bits (a power of two) of the map of asked runs, which is sent to every worker: a megabyte, whatever the data.
+MAP_BITS = 23
+#: Tokens counted at once by one worker.
+BLOCK = 500_000
 #: A run of words seen inside texts at least so often, and ending a unit in less than this share, continues.
 SEEN, CONTINUES = 20, 0.03
 #: A number before a full stop is cut if its run ends a unit in less than this share.
@@ -91,14 +100,31 @@ def lines_of(text: str) -> tuple[list[str], bool, bool]:
     return lines, bool(fence), closing
 
 
-def opening_key(line: str) -> str:
+def opening_key(line: str, found: list[str] | None = None) -> str:
     """What a line begins with: its signs before the first word, or its first two tokens."""
     if signs := _SIGNS.match(line):
         return signs[0]
-    found = _TOKEN.findall(line[:80])
+    if found is None:
+        found = [m[0] for m, _ in zip(_TOKEN.finditer(line), range(2))]
     return " ".join(_mask(x, i == 0) for i, x in enumerate(found[:2]))
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mask_hash(mask: str) -> int:
+    return xxhash.xxh64_intdigest(mask)
+
+
+def run_place(hashes: list) -> np.ndarray:
+    """The place of runs in the map, from the hashes of their masks in order: arrays or numbers."""
+    mixed = np.uint64(0)
+    for h in hashes:
+        mixed = (mixed ^ np.asarray(h, np.uint64)) * _STEP
+        mixed ^= mixed >> np.uint64(29)
+    return ((mixed * _STEP) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
 def ending(text: str | None) -> dict | None:
     """What a text's end shows; None for null and blank texts.
 
@@ -110,7 +136,7 @@ def ending(text: str | None) -> dict | None:
     if text is None or not text.strip():
         return None
     lines, open_fence, closing_fence = lines_of(text)
-    out = {"state": "whole", "word": "", "runs": [], "key": "", "lines": 0, "stopped": 0}
+    out = {"state": "whole", "word": "", "runs": [], "key": "", "lines": 0, "stopped": 0, "places": []}
     for line in lines[:-1]:
         if len(line) > 40 and not _HEADING.match(line) and not _ITEM.match(line) and line[0] not in "|>":
             bare = line.rstrip("\"'’”»)]*_ ")
@@ -143,12 +169,15 @@ def ending(text: str | None) -> dict | None:
     if not masks:
         return out
     out["word"] = found[-1]
-    out["runs"] = [" ".join(masks[-n:]) for n in (1, 2, 3) if len(masks) >= n]
+    ends = [masks[-n:] for n in (1, 2, 3) if len(masks) >= n]
+    out["runs"] = [" ".join(x) for x in ends]
+    with np.errstate(over="ignore"):
+        out["places"] = [int(run_place([mask_hash(m) for m in x])) for x in ends]
     out["state"] = "number" if number else "item" if _ITEM.match(last) else "prose"
     return out
 
 
-_ENDINGS = "doc_id long, source string, state string, word string, runs array<string>, key string, lines int, stopped int"
+_ENDINGS = "doc_id long, source string, state string, word string, runs array<string>, key string, lines int, stopped int, places array<long>"
 
 
 def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,74 +187,197 @@ def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = ending(text)
             if found:
                 rows.append((doc, source, *found.values()))
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "state", "word", "runs", "key", "lines", "stopped"])
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ENDINGS.split(", ")])
 
 
 _UNITS = "kind string, unit string, seen long, ends long, last long"
 
 
-def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per block: how often each word ('word') and run ('run') occurs, ends a unit, and is a
-    text's very last; and how often each beginning ('key') begins a line and a last line."""
+class _Numbers(dict):
+    """Numbers of strings in the order of their first look-up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class _Block:
+    """Counts of words, runs and beginnings of many lines, by arrays of numbered tokens."""
+
+    def __init__(self, asked: np.ndarray):
+        self.asked = asked
+        self.words, self.masks, self.later = _Numbers(), _Numbers(), {}
+        self.word, self.mask, self.at, self.end, self.last = [], [], [], [], []
+        self.keys, self.closing = Counter(), Counter()
+
+    def add(self, line: str, final: bool) -> None:
+        found = _TOKEN.findall(line)
+        key = opening_key(line, found)
+        self.keys[key] += 1
+        self.closing[key] += final
+        most = len(found)
+        while most and not (found[most - 1][0].isalnum()):
+            most -= 1
+        if not most:
+            return
+        tokens, later = found[:most], self.later
+        for t in tokens:
+            if t not in later:
+                later[t] = self.masks[_mask(t, False)]
+        masks = [later[t] for t in tokens]
+        stops = [i for i, t in enumerate(tokens) if t in _STOPS]
+        # What begins a sentence, after quotes and the like too, is read as a first word.
+        for i in (0, *[i + 1 for i in stops]):
+            while i < most:
+                masks[i] = self.masks[_mask(tokens[i], True)]
+                if tokens[i] not in _OPENERS:
+                    break
+                i += 1
+        end = [False] * most
+        for i in stops:
+            end[i - 1] = True
+        end[-1] = True
+        self.word += [self.words[t] for t in tokens]
+        self.mask += masks
+        self.at += range(most)
+        self.end += end
+        self.last += [False] * (most - 1) + [final]
+
+    def rows(self) -> pd.DataFrame:
+        """Counts of all words and beginnings, and of the runs whose place is set in the map of asked ones."""
+        parts = [pd.DataFrame({"kind": "key", "unit": list(self.keys), "seen": list(self.keys.values()), "ends": 0, "last": [self.closing[k] for k in self.keys]})]
+        if self.mask:
+            word, mask, at = (np.array(x, np.int64) for x in (self.word, self.mask, self.at))
+            end, last = np.array(self.end), np.array(self.last)
+            names, spelled = np.array(list(self.masks), object), np.array([m[0].isalnum() for m in self.masks])
+            hashes = np.array([mask_hash(m) for m in self.masks], np.uint64)
+            counted = spelled[mask]
+            n = len(self.words)
+            seen = np.bincount(word[counted], minlength=n)
+            held = np.flatnonzero(seen)
+            parts.append(pd.DataFrame({"kind": "word", "unit": np.array(list(self.words), object)[held], "seen": seen[held], "ends": 0, "last": np.bincount(word[counted & last], minlength=n)[held]}))
+            for size in (1, 2, 3):
+                i = np.flatnonzero(counted & (at >= size - 1))
+                steps = [mask[i - k] for k in range(size - 1, -1, -1)]
+                place = run_place([hashes[m] for m in steps])
+                hit = (self.asked[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                i, steps = i[hit], [m[hit] for m in steps]
+                key = steps[0]
+                for m in steps[1:]:
+                    key = key * len(names) + m
+                unique, first, back = np.unique(key, return_index=True, return_inverse=True)
+                unit = names[steps[0][first]]
+                for m in steps[1:]:
+                    unit = unit + " " + names[m[first]]
+                total = lambda flags: np.bincount(back, weights=flags, minlength=len(unique)).astype(np.int64)
+                parts.append(pd.DataFrame({"kind": "run", "unit": unit, "seen": np.bincount(back, minlength=len(unique)), "ends": total(end[i]), "last": total(last[i])}))
+        return pd.concat([p for p in parts if len(p)] or parts)
+
+
+def _units(asked):
+    """Per block: how often each word ('word') and asked run ('run') occurs, ends a unit, and is
+    a text's very last; and how often each beginning ('key') begins a line and a last line."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = np.frombuffer(asked.value, np.uint8)
+        block = _Block(places)
+        for batch in batches:
+            for text in batch["text"]:
+                if not text:
+                    continue
+                lines, _, closing = lines_of(text)
+                for n, line in enumerate(lines):
+                    block.add(line, n == len(lines) - 1 and not closing)
+                    if len(block.mask) >= BLOCK:
+                        yield block.rows()
+                        block = _Block(places)
+        yield block.rows()
+
+    return run
+
+
+def asked_runs(ends: DataFrame) -> bytes:
+    """The map of the runs that end some text: one bit each of 2 ** ``MAP_BITS``, set together by runs that share it.
+
+    It only spares counts that nobody asks for: runs are joined by their text afterwards.
+    """
+    place = ends.select(F.explode("places").alias("p")).select((F.col("p") + 1).alias("p"))
+    parts = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    found = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for row in parts.collect():  # at most 2 ** MAP_BITS / 32,768 rows of 4 kB
+        found[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return found.tobytes()
+
+
+_STOP_ONLY = frozenset(".!?。！？؟।")
+#: Successors that can lack the decision: one for each closing stop, and one more.
+AHEAD = len(_STOP_ONLY) + 1
+
+
+def _continued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of ordered distinct texts, those that a later one continues; and the texts still open at the end of the part.
+
+    All texts that begin with a text follow it directly, so only texts that nothing but a
+    closing stop has continued yet are held.
+    """
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    columns = ["part", "at", "role", "h", "g", "text"]
+    waiting: list[tuple[str, int, int]] = []
+    at = 0
     for batch in batches:
-        seen, ends, last = Counter(), Counter(), Counter()
-        for text in batch["text"]:
-            if not text:
-                continue
-            lines, _, closing = lines_of(text)
-            for n, line in enumerate(lines):
-                final = n == len(lines) - 1 and not closing
-                key = ("key", opening_key(line))
-                seen[key] += 1
-                last[key] += final
-                found, masks = _tokens(line)
-                most = len(masks)
-                while most and not masks[most - 1][0].isalnum():
-                    most -= 1
-                for i in range(most):
-                    mask = masks[i]
-                    if not mask[0].isalnum():
-                        continue
-                    end = i == most - 1 or masks[i + 1] in _STOPS
-                    word = ("word", found[i])
-                    runs = [("run", mask)]
-                    if i:
-                        runs.append(("run", pair := f"{masks[i - 1]} {mask}"))
-                        if i > 1:
-                            runs.append(("run", f"{masks[i - 2]} {pair}"))
-                    seen[word] += 1
-                    seen.update(runs)
-                    if end:
-                        ends.update(runs)
-                        if final and i == most - 1:
-                            last[word] += 1
-                            last.update(runs)
-        yield pd.DataFrame([(*k, n, ends[k], last[k]) for k, n in seen.items()], columns=["kind", "unit", "seen", "ends", "last"])
-
-
-def prefix_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
+        rows = []
+        for text, h, g in zip(batch["bare"], batch["h"], batch["g"]):
+            if at < AHEAD:
+                rows.append((part, at, "first", h, g, text))
+            at += 1
+            kept = []
+            for cut, *key in waiting:
+                if text.startswith(cut):
+                    if text[len(cut) :] in _STOP_ONLY:
+                        kept.append((cut, *key))
+                    else:
+                        rows.append((part, 0, "cut", *key, None))
+            waiting = [*kept, (text, h, g)]
+        yield pd.DataFrame(rows, columns=columns)
+    yield pd.DataFrame([(part, 0, "open", h, g, text) for text, h, g in waiting], columns=columns)
+
+
+def prefix_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = PREFIX, scratch: Scratch | None = None) -> DataFrame:
     """(key) of the texts that, without an exporter's mark at the end, are a strict prefix of a longer text.
 
-    Texts are paired by a hash of their first ``prefix`` characters, shorter ones by all they
-    have, at each length that occurs. Equal texts count once, and only prefixes that texts of
-    different lengths share are joined, so copies of one text never meet each other. A text
-    that lacks nothing but a closing stop is not cut.
+    Texts of ``prefix`` characters and more are looked at if another text has the same hashed
+    beginning. They are ordered in ranges; a text's longer copies follow it directly, so each
+    is compared with its successors alone, whatever share of all texts begins alike. Shorter
+    texts are looked up among the beginnings of all texts, at each length that occurs. Equal
+    texts count once. A text that lacks nothing but a closing stop is not cut.
     """
-    bare = F.regexp_replace(F.rtrim(F.col(text)), r"(?:…|\.\.\.+|\x{FFFD}+)\s*$", "")
-    rows = docs.select(F.col(key), F.rtrim(bare).alias("bare")).where(F.length("bare") > 0)
-    hashed = rows.withColumn("h", F.xxhash64(F.substring("bare", 1, prefix))).withColumn("t", F.xxhash64("bare"))
-    shared = hashed.groupBy("h").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("h")
-    distinct = hashed.where(F.length("bare") >= prefix).join(shared, "h", "left_semi").select("h", "bare").distinct()
-    longer = distinct.select("h", F.col("bare").alias("other"))
-    lacks = lambda other, cut: (F.length(other) > F.length(cut)) & ~F.expr(f"substring({other}, length({cut}) + 1)").rlike(r"^[.!?。！？؟।]$")
-    cut = distinct.join(longer, (distinct["h"] == longer["h"]) & F.col("other").startswith(F.col("bare")) & lacks("other", "bare"), "left_semi").select("bare")
-    short = rows.where(F.length("bare") < prefix).select("bare").distinct()
-    lengths = sorted(r["n"] for r in short.select(F.length("bare").alias("n")).distinct().collect())  # fewer than ``prefix``
+    scratch = scratch or Scratch(docs.sparkSession)
+    hashes = lambda c: (F.xxhash64(c).alias("h"), F.xxhash64(F.lit(7), c).alias("g"))
+    bare = F.rtrim(F.regexp_replace(F.rtrim(F.col(text)), r"(?:…|\.\.\.+|\x{FFFD}+)\s*$", ""))
+    rows = docs.select(F.col(key), bare.alias("bare")).where(F.length("bare") > 0)
+    rows = rows.select("*", *hashes(F.col("bare")), F.xxhash64(F.substring("bare", 1, prefix)).alias("begin"))
+    shared = rows.groupBy("begin").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("begin")
+    distinct = rows.where(F.length("bare") >= prefix).join(shared, "begin", "left_semi").groupBy("h", "g").agg(F.first("bare").alias("bare"))
+    distinct = scratch.save(distinct)
+    ordered = distinct.select("bare", "h", "g").repartitionByRange("bare").sortWithinPartitions("bare")
+    compared = scratch.save(ordered.mapInPandas(_continued, "part int, at int, role string, h long, g long, text string"))
+    # Texts at the end of a part meet the first ones of the parts that follow: a few rows a part.
+    firsts = compared.where("role = 'first'").select("part", "text", F.row_number().over(Window.orderBy("part", "at")).alias("place"))
+    reached = firsts.groupBy("part").agg(F.max("place").alias("place"))
+    opened = compared.where("role = 'open'").join(reached, "part").withColumn("place", F.explode(F.sequence(F.col("place") + 1, F.col("place") + AHEAD)))
+    opened = opened.join(firsts.select("place", F.col("text").alias("other")), "place")
+    rest = F.expr("substring(other, length(text) + 1)")
+    cut = compared.where("role = 'cut'").select("h", "g").unionByName(opened.where(F.col("other").startswith(F.col("text")) & ~rest.isin(sorted(_STOP_ONLY))).select("h", "g"))
+    short = scratch.save(rows.where(F.length("bare") < prefix).select("h", "g", F.length("bare").alias("n")).distinct())
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # fewer than ``prefix``
     if lengths:
-        begun = rows.select(F.col("bare").alias("other")).distinct().select("other", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.length("other") > F.col("n"))
-        begun = begun.withColumn("begin", F.expr("substring(other, 1, n)")).where(lacks("other", "begin")).select(F.col("begin").alias("bare"))
-        cut = cut.unionByName(short.join(begun, "bare", "left_semi"))
-    return rows.join(cut.distinct(), "bare", "left_semi").select(key)
+        begun = rows.select("bare", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.length("bare") > F.col("n"))
+        begun = begun.where((F.length("bare") > F.col("n") + 1) | ~F.right("bare", F.lit(1)).isin(sorted(_STOP_ONLY)))
+        begun = begun.select(*hashes(F.expr("substring(bare, 1, n)")))
+        cut = cut.unionByName(short.select("h", "g").join(begun, ["h", "g"], "left_semi"))
+    return rows.join(cut.distinct(), ["h", "g"], "left_semi").select(key)
 
 
 def decided(docs: DataFrame, scratch) -> DataFrame:
@@ -237,7 +389,8 @@ def decided(docs: DataFrame, scratch) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     ends = scratch.save(texts.mapInPandas(_endings, _ENDINGS))
-    units = texts.select("text").mapInPandas(_units, _UNITS).groupBy("kind", "unit").agg(*[F.sum(c).alias(c) for c in ("seen", "ends", "last")])
+    asked = docs.sparkSession.sparkContext.broadcast(asked_runs(ends.where(F.col("state").isin("prose", "item", "number"))))
+    units = texts.select("text").mapInPandas(_units(asked), _UNITS).groupBy("kind", "unit").agg(*[F.sum(c).alias(c) for c in ("seen", "ends", "last")])
     units = scratch.save(units)
     open_ends = ends.where(F.col("state").isin("prose", "item", "number"))
 
@@ -263,7 +416,7 @@ def decided(docs: DataFrame, scratch) -> DataFrame:
     keys = units.where(f"kind = 'key' and last >= {CLOSERS} and last >= {CLOSING_SHARE} * seen").select(F.col("unit").alias("key"), F.lit(True).alias("closer"))
     # One row a source: how its lines end.
     styles = ends.groupBy("source").agg((1 - F.sum("stopped") / F.greatest(F.sum("lines"), F.lit(1))).alias("unstopped"))
-    copies = prefix_copies(docs).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("copy", F.lit(True))
+    copies = prefix_copies(docs, scratch=scratch).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("copy", F.lit(True))
 
     rows = ends.join(told, "doc_id", "left").join(halves, "word", "left").join(keys, "key", "left").join(copies, "doc_id", "left")
     rows = rows.join(styles.select(F.col("source").alias("s"), "unstopped"), F.col("source").eqNullSafe(F.col("s")), "left")
@@ -279,8 +432,8 @@ def decided(docs: DataFrame, scratch) -> DataFrame:
         .when(F.coalesce("closer", F.lit(False)), F.when(half & ~F.col("word").rlike(r"[\x{AC00}-\x{D7A3}]"), "inside a word").when(F.col("all_share") < CONTINUES, "runs on"))
         .when(half, "inside a word")
         .when(F.col("state") == "item", F.when(runs_on, "runs on"))
-        .when(stopped, "no stop where the text has stops")
         .when(runs_on, "runs on")
+        .when(stopped, "no stop where the text has stops")
     )
     return rows.select("doc_id", "source", why.isNotNull().alias("cut"), why.alias("why"))
 

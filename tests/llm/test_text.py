@@ -114,3 +114,56 @@ def test_prefix_copies_of_short_texts_and_of_one_letter(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in truncation.prefix_copies(docs).collect()} == {0, 6, 9, 10}
     assert truncation.prefix_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_prefix_copies_are_brute_force(spark, parts):
+    """Many texts with one header, nested prefixes, lone closing stops, and more parts than chains."""
+    import random
+
+    rng = random.Random(int(parts))
+    header = "Minutes of the meeting of the keepers of the northern gate at Marwick. "
+    whole = [header + " ".join(rng.choice(["oar", "keel", "sail", "bay"]) for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", "!"]) for _ in range(150)]
+    texts = [t[: rng.randrange(1, len(t) + 1)] for t in whole for _ in range(2)] + whole + [header.strip(), header.strip()[:-1], "a", "a.", "a!", "a. b"]
+    bare = [t.rstrip(" ") for t in texts]
+    wanted = {i for i, t in enumerate(bare) if t and any(len(o) > len(t) and o.startswith(t) and o[len(t) :] not in set(".!?。！？؟।") for o in bare)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert sorted(r["doc_id"] for r in truncation.prefix_copies(docs).collect()) == sorted(wanted)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_block_counts_are_those_of_a_plain_count():
+    from collections import Counter
+
+    import numpy as np
+
+    lines = ["“The keepers” of Marwick cleaned 12 gates. They left.", "- AB-12 was it, 3.5 of 1200", "日本 は 良い", "...", "x", "The keepers of Marwick cleaned"]
+    block = truncation._Block(np.full(1 << (truncation.MAP_BITS - 3), 255, np.uint8))
+    seen, ends, last = Counter(), Counter(), Counter()
+    for n, line in enumerate(lines):
+        block.add(line, n == 5)
+        found, masks = truncation._tokens(line)
+        most = len(masks)
+        while most and not masks[most - 1][0].isalnum():
+            most -= 1
+        for i in range(most):
+            if masks[i][0].isalnum():
+                end = i == most - 1 or masks[i + 1] in truncation._STOPS
+                for k in range(min(i, 2) + 1):
+                    run = " ".join(masks[i - k : i + 1])
+                    seen[run] += 1
+                    ends[run] += end
+                    last[run] += n == 5 and i == most - 1
+    got = {r.unit: (r.seen, r.ends, r.last) for r in block.rows().itertuples() if r.kind == "run"}
+    assert got == {u: (seen[u], ends[u], last[u]) for u in seen}
+
+
+def test_map_of_asked_runs(spark):
+    ends = spark.createDataFrame([([0, 5, 32767, 32768],), ([5, (1 << truncation.MAP_BITS) - 1],), ([],), (None,)], "places array<long>")
+    found = truncation.asked_runs(ends)
+    assert len(found) == 1 << (truncation.MAP_BITS - 3)
+    assert {i * 8 + b for i, x in enumerate(found) if x for b in range(8) if x >> b & 1} == {0, 5, 32767, 32768, (1 << truncation.MAP_BITS) - 1}
