@@ -354,13 +354,14 @@ def prefix_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", pref
     texts count once. A text that lacks nothing but a closing stop is not cut.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    hashes = lambda c: (F.xxhash64(c).alias("h"), F.xxhash64(F.lit(7), c).alias("g"))
+    hashed = lambda c: (F.xxhash64(c).alias("h"), F.xxhash64(F.lit(7), c).alias("g"))
     bare = F.rtrim(F.regexp_replace(F.rtrim(F.col(text)), r"(?:…|\.\.\.+|\x{FFFD}+)\s*$", ""))
-    rows = docs.select(F.col(key), bare.alias("bare")).where(F.length("bare") > 0)
-    rows = rows.select("*", *hashes(F.col("bare")), F.xxhash64(F.substring("bare", 1, prefix)).alias("begin"))
-    shared = rows.groupBy("begin").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("begin")
-    distinct = rows.where(F.length("bare") >= prefix).join(shared, "begin", "left_semi").groupBy("h", "g").agg(F.first("bare").alias("bare"))
-    distinct = scratch.save(distinct)
+    texts = docs.select(F.col(key), bare.alias("bare")).where(F.length("bare") > 0)
+    begin = F.xxhash64(F.substring("bare", 1, prefix)).alias("begin")
+    rows = scratch.save(texts.select(key, *hashed(F.col("bare")), begin, F.length("bare").alias("n")))
+    shared = scratch.save(rows.where(F.col("n") >= prefix).groupBy("begin").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("begin"))
+    distinct = texts.where(F.length("bare") >= prefix).select("bare", begin).join(shared, "begin", "left_semi").select("bare", *hashed(F.col("bare")))
+    distinct = scratch.save(distinct.groupBy("h", "g").agg(F.first("bare").alias("bare")))
     ordered = distinct.select("bare", "h", "g").repartitionByRange("bare").sortWithinPartitions("bare")
     compared = scratch.save(ordered.mapInPandas(_continued, "part int, at int, role string, h long, g long, text string"))
     # Texts at the end of a part meet the first ones of the parts that follow: a few rows a part.
@@ -370,13 +371,13 @@ def prefix_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", pref
     opened = opened.join(firsts.select("place", F.col("text").alias("other")), "place")
     rest = F.expr("substring(other, length(text) + 1)")
     cut = compared.where("role = 'cut'").select("h", "g").unionByName(opened.where(F.col("other").startswith(F.col("text")) & ~rest.isin(sorted(_STOP_ONLY))).select("h", "g"))
-    short = scratch.save(rows.where(F.length("bare") < prefix).select("h", "g", F.length("bare").alias("n")).distinct())
+    short = scratch.save(rows.where(F.col("n") < prefix).select("h", "g", "n").distinct())
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # fewer than ``prefix``
     if lengths:
-        begun = rows.select("bare", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.length("bare") > F.col("n"))
+        begun = texts.select("bare", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.length("bare") > F.col("n"))
         begun = begun.where((F.length("bare") > F.col("n") + 1) | ~F.right("bare", F.lit(1)).isin(sorted(_STOP_ONLY)))
-        begun = begun.select(*hashes(F.expr("substring(bare, 1, n)")))
-        cut = cut.unionByName(short.select("h", "g").join(begun, ["h", "g"], "left_semi"))
+        begun = begun.select(F.expr("substring(bare, 1, n)").alias("start")).withColumn("h", F.xxhash64("start")).join(short.select("h", "g"), "h")
+        cut = cut.unionByName(begun.where(F.col("g") == F.xxhash64(F.lit(7), "start")).select("h", "g"))
     return rows.join(cut.distinct(), ["h", "g"], "left_semi").select(key)
 
 
