@@ -201,13 +201,25 @@ class _Numbers(dict):
         return number
 
 
+class _Later(dict):
+    """Numbers of the masks that tokens have inside a sentence."""
+
+    def __init__(self, masks: _Numbers):
+        self.masks = masks
+
+    def __missing__(self, token: str) -> int:
+        self[token] = number = self.masks[_mask(token, False)]
+        return number
+
+
 class _Block:
     """Counts of words, runs and beginnings of many lines, by arrays of numbered tokens."""
 
     def __init__(self, asked: np.ndarray):
         self.asked = asked
-        self.words, self.masks, self.later = _Numbers(), _Numbers(), {}
-        self.word, self.mask, self.at, self.end, self.last = [], [], [], [], []
+        self.words, self.masks = _Numbers(), _Numbers()
+        self.later = _Later(self.masks)
+        self.word, self.mask, self.sizes, self.finals, self.ends = [], [], [], [], []
         self.keys, self.closing = Counter(), Counter()
 
     def add(self, line: str, final: bool) -> None:
@@ -216,14 +228,11 @@ class _Block:
         self.keys[key] += 1
         self.closing[key] += final
         most = len(found)
-        while most and not (found[most - 1][0].isalnum()):
+        while most and not found[most - 1][0].isalnum():
             most -= 1
         if not most:
             return
-        tokens, later = found[:most], self.later
-        for t in tokens:
-            if t not in later:
-                later[t] = self.masks[_mask(t, False)]
+        tokens, words, later = found[:most], self.words, self.later
         masks = [later[t] for t in tokens]
         stops = [i for i, t in enumerate(tokens) if t in _STOPS]
         # What begins a sentence, after quotes and the like too, is read as a first word.
@@ -233,22 +242,23 @@ class _Block:
                 if tokens[i] not in _OPENERS:
                     break
                 i += 1
-        end = [False] * most
-        for i in stops:
-            end[i - 1] = True
-        end[-1] = True
-        self.word += [self.words[t] for t in tokens]
+        start = len(self.mask)
+        self.ends += [start + i - 1 for i in stops if i]
+        self.word += [words[t] for t in tokens]
         self.mask += masks
-        self.at += range(most)
-        self.end += end
-        self.last += [False] * (most - 1) + [final]
+        self.sizes.append(most)
+        self.finals.append(final)
 
     def rows(self) -> pd.DataFrame:
         """Counts of all words and beginnings, and of the runs whose place is set in the map of asked ones."""
         parts = [pd.DataFrame({"kind": "key", "unit": list(self.keys), "seen": list(self.keys.values()), "ends": 0, "last": [self.closing[k] for k in self.keys]})]
         if self.mask:
-            word, mask, at = (np.array(x, np.int64) for x in (self.word, self.mask, self.at))
-            end, last = np.array(self.end), np.array(self.last)
+            word, mask, sizes = (np.array(x, np.int64) for x in (self.word, self.mask, self.sizes))
+            closes = np.cumsum(sizes) - 1
+            at = np.arange(len(mask)) - np.repeat(closes + 1 - sizes, sizes)
+            end, last = np.zeros(len(mask), bool), np.zeros(len(mask), bool)
+            end[closes] = end[self.ends] = True
+            last[closes] = self.finals
             names, spelled = np.array(list(self.masks), object), np.array([m[0].isalnum() for m in self.masks])
             hashes = np.array([mask_hash(m) for m in self.masks], np.uint64)
             counted = spelled[mask]
