@@ -1,16 +1,18 @@
 """Problem 6: link variant spellings of a person or organisation to its page.
 
 Method: suffix blocking. The telling word of every entity (a person's surname, an
-organisation's place) is indexed by its suffixes, of the word and of the word reversed,
-from just under half its length on and of at least ``LEAST`` letters; so one typing error,
-a swap in the middle too, leaves one of the two ends intact. Suffixes are common, so each is refined with further fields, the
-vault and the initial of another word, before anything is compared, and none is discarded.
-Pairs are compared by longest-common-subsequence ratio of their words, then checked word by
-word: initials, nicknames, abbreviations, acronyms, reordered and left-out parts.
+organisation's place) is indexed by all its suffixes of at least ``LEAST`` letters, of the
+word and of the word reversed. Each is refined with further fields first, the vault and the
+first or last letter of another word. A word of a link is looked up by its shortest suffix
+that, so refined, is not overly common; longer suffixes than (almost) half a word are never
+needed, as one typing error leaves one half intact, and so that half is used however common
+it is. Pairs of words are compared by longest-common-subsequence ratio, which alone decides
+whether two words are spellings of one; names are then compared word by word: initials,
+nicknames, abbreviations, acronyms, reordered and left-out parts.
 
 Which titles are persons or organisations, and which short forms belong to a first name,
 is learned from all titles, names and aliases: a comma form or a known nickname beside the
-same surname shows a person, an "of" form or abbreviation beside the same place shows an
+same surname shows a person, an "of" form or abbreviation beside the same words shows an
 organisation.
 """
 
@@ -27,6 +29,8 @@ from lorewell.session import Scratch
 
 #: Letters of the shortest indexed suffix, and the least common-subsequence ratio of two words.
 LEAST, RATIO = 2, 0.8
+#: Entities that share a refined suffix from which it is overly common, so that a longer one is asked for.
+COMMON = 32
 
 # What may stand before or after a person's name, and words without weight in names of organisations.
 HONORIFICS = frozenset("dr prof professor mr mrs ms miss sir dame herr frau mme mlle dipl ing med phd jr sr".split())
@@ -59,24 +63,20 @@ def ratio(a: str, b: str) -> float:
     return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
-def one_error(a: str, b: str) -> bool:
-    """Whether one inserted, left-out, wrong or swapped letter makes ``a`` of ``b``."""
-    if a == b or abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    x, y = a[i:], b[i:]
-    return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
-
-
 def alike(a: str, b: str) -> int | None:
-    """Errors between two words: 0 if equal, 1 if one error apart and alike enough, else None."""
+    """Errors between two words: 0 if equal, else those of a pair whose ratio is at least ``RATIO``; None for other pairs.
+
+    Errors are the letters of the longer word, on average of both, that the common subsequence
+    leaves out; at least one.
+    """
     if a == b:
         return 0
-    if min(len(a), len(b)) >= 3 and one_error(a, b) and ratio(a, b) >= (RATIO if len(a) + len(b) > 9 else 0.66):
-        return 1
-    return None
+    if min(len(a), len(b)) < 3 or 2 * min(len(a), len(b)) < RATIO * (len(a) + len(b)):
+        return None
+    shared = common_subsequence(a, b)
+    if 2 * shared < RATIO * (len(a) + len(b)):
+        return None
+    return max(1, round((len(a) + len(b)) / 2 - shared))
 
 
 def abbreviates(short: str, full: str) -> bool:
@@ -170,24 +170,26 @@ def organisation_errors(words: list[str], title: list[str], raw: str) -> float |
     return cost if cost < 2.5 else None
 
 
-def halves(word: str, spread: int) -> set[str]:
-    """The indexed suffixes of a word and of the word reversed, marked by direction.
+def suffixes(word: str, most: int | None = None) -> list[str]:
+    """The suffixes of a word and of the word reversed, of ``LEAST`` to ``most`` letters, shortest first."""
+    sizes = range(LEAST, min(len(word), most or len(word)) + 1)
+    return [x for n in sizes for x in ("<" + word[:n], word[-n:] + ">")]
 
-    An indexed word gives those of just under half its length; a looked-up one (``spread`` 1) also
-    those a letter shorter or longer, as an error may have changed its length.
-    """
-    found = set()
-    for n in range(len(word) - spread, len(word) + spread + 1):
-        size = max(LEAST, (n - 1) // 2)
-        if len(word) >= size:
-            found |= {"<" + word[:size], word[-size:] + ">"}
-    return found
+
+def needed(word: str) -> int:
+    """Letters of the longest suffix a word is looked up by: an error or a swap of neighbours leaves as many at one end."""
+    return max(LEAST, (len(word) - 1) // 2)
+
+
+def marks(words: list[str]) -> set[str]:
+    """First and last letters of words, by which suffixes are refined: one error cannot change both."""
+    return {"^" + w[0] for w in words} | {w[-1] + "$" for w in words if len(w) > 1}
 
 
 def evidence(title: str | None, name: str | None, aliases: list[str] | None) -> list[tuple[str, str, str]]:
     """What a page's spellings show: ('first', name, ''), ('nick', name, short), ('kind', word, '')."""
     parts = words_of(title or "")
-    if not 2 <= len(parts) <= 4 or any(c.isdigit() for c in title):
+    if len(parts) < 2:
         return []
     first, last = parts[0], parts[-1]
     found = set()
@@ -202,11 +204,11 @@ def evidence(title: str | None, name: str | None, aliases: list[str] | None) ->
                     found.add(("first", first, ""))
                 elif len(given[0]) > 1:
                     found.add(("nick", first, given[0]))
-        elif len(parts) == 3 and re.search(r"\b(?:of|for)\b", spelling.lower()):
+        elif re.search(r"\b(?:of|for)\b", spelling.lower()):
             rest = [w for w in words if w not in FILLERS]
-            if len(rest) == 3 and sum(any(alike(w, p) is not None for w in rest) for p in parts) == 3:
+            if len(rest) == len(parts) and rest != parts and all(any(alike(w, p) is not None for w in rest) for p in parts):
                 found.add(("kind", last, ""))
-        elif len(words) == 2 and alike(words[1], last) is not None and alike(words[0], first) is None and len(words[0]) > 1 and len(parts) <= 3:
+        elif len(words) == 2 and alike(words[1], last) is not None and alike(words[0], first) is None and len(words[0]) > 1:
             found.add(("nick", first, words[0]))
         elif len(words) == 2 and alike(words[0], last) == 0 and alike(words[1], first) == 0:
             found.add(("first", first, ""))
@@ -229,33 +231,78 @@ def _words(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else words_of(x))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+_KEYS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("mark", T.StringType()), T.StructField("suffix", T.StringType()), T.StructField("letters", T.IntegerType())]))
+
+
+def _keys(words: list[tuple[str, str]], most) -> list[dict]:
+    return [{"word": w, "mark": m, "suffix": x, "letters": len(x) - 1} for w, m in words for x in suffixes(w, most(w))]
+
+
+def _whole(word: str) -> dict:
+    return {"word": word, "mark": "=", "suffix": "=", "letters": 0}
+
+
+@F.pandas_udf(_KEYS)
 def _entity_keys(kind: pd.Series, words: pd.Series, nicknames: pd.Series) -> pd.Series:
+    """Every suffix of an entity's telling word with the marks of its other words; its initials as a word of their own."""
+
     def of(k, w, nicks):
-        if k == "person":
-            initials = {w[0][0], *(n[0] for n in nicks)}
-            return sorted(f"{h}|{i}" for h in halves(w[-1], 0) for i in initials)
-        initials = {x[0] for x in w[1:]}
-        return sorted([f"{h}|{i}" for h in halves(w[0], 0) for i in initials] + ["=" + "".join(x[0] for x in w)])
+        w = list(w)
+        telling, others = (w[-1], [w[0], *nicks]) if k == "person" else (w[0], w[1:])
+        whole = [] if k == "person" else [_whole("".join(x[0] for x in w))]
+        return _keys([(telling, m) for m in sorted(marks(others) | {"^" + w[0][0]} if k == "person" else marks(others))], len) + whole
 
     return pd.Series([of(*x) for x in zip(kind, words, nicknames)])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _link_keys(text: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("word", "mark")])))
+def _link_words(text: pd.Series) -> pd.Series:
+    """Each word of a link that may be the telling one, with the marks of the others; its initials as a word of their own."""
+
     def of(x):
         words = [w for w in words_of(x) if w not in FILLERS]
-        if not words or len(words) > 8:
-            return []
-        keys = {f"{h}|{o[0]}" for i, w in enumerate(words) if len(w) > LEAST for h in halves(w, 1) for j, o in enumerate(words) if i != j}
-        joined = "".join(words)
-        if len(joined) <= 5 and (len(words) == 1 or all(len(w) == 1 for w in words)):
-            keys.add("=" + joined)
-        return sorted(keys)
+        found = {(w, m) for i, w in enumerate(words) if len(w) > LEAST for m in marks(words[:i] + words[i + 1 :])}
+        if len(words) == 1 or (words and all(len(w) == 1 for w in words)):
+            found.add(("".join(words), "="))
+        return [{"word": w, "mark": m} for w, m in sorted(found)]
 
     return text.map(of)
 
 
+@F.pandas_udf(_KEYS)
+def _lookup_keys(word: pd.Series, mark: pd.Series) -> pd.Series:
+    return pd.Series([_keys([(w, m)], needed) for w, m in zip(word, mark)])
+
+
+@F.pandas_udf(T.BooleanType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([alike(x, y) is not None for x, y in zip(a, b)], dtype=bool)
+
+
+def candidates(texts: DataFrame, known: DataFrame, scratch: Scratch, common: int = COMMON) -> DataFrame:
+    """(vault, text, shown, page_id) of the links with a word alike to the telling word of an entity.
+
+    Words are looked up once a vault, not once a link. ``texts`` is (vault, text, shown),
+    ``known`` what ``entities`` gives.
+    """
+    index = known.select("vault", "page_id", F.explode(_entity_keys("kind", "words", "nicknames")).alias("k")).select("vault", "page_id", F.col("k.word").alias("telling"), "k.mark", "k.suffix")
+    index = scratch.save(index)
+    held = scratch.save(texts.select("vault", "text", "shown", F.explode(_link_words("shown")).alias("w")).select("vault", "text", "shown", "w.*"))
+    asked = held.select("vault", "word", "mark").distinct()
+    looked = asked.where("mark <> '='").select("vault", F.explode(_lookup_keys("word", "mark")).alias("k")).select("vault", "k.*")
+    # The shortest suffix of each end that is not overly common; the longest that is asked for, however common.
+    counts = index.where("mark <> '='").groupBy("vault", "mark", "suffix").agg(F.count("*").alias("n"))
+    end = F.when(F.col("suffix").startswith("<"), "<").otherwise(">")
+    found = looked.join(counts, ["vault", "mark", "suffix"]).withColumn("end", end)
+    last = F.greatest(F.lit(LEAST), F.floor((F.length("word") - 1) / 2))
+    found = found.where((F.col("n") <= common) | (F.col("letters") >= last))
+    chosen = found.groupBy("vault", "word", "mark", "end").agg(F.min_by("suffix", "letters").alias("suffix")).drop("end")
+    near = chosen.join(index, ["vault", "mark", "suffix"]).select("vault", "word", "mark", "telling", "page_id").distinct()
+    near = near.where(_alike("word", "telling")).select("vault", "word", "mark", "page_id")
+    whole = asked.where("mark = '='").join(index.where("mark = '='").select("vault", F.col("telling").alias("word"), "page_id"), ["vault", "word"]).select("vault", "word", "mark", "page_id")
+    return held.join(near.unionByName(whole), ["vault", "word", "mark"]).select("vault", "text", "shown", "page_id").distinct()
+
+
 @F.pandas_udf(T.DoubleType())
 def _cost(raw: pd.Series, kind: pd.Series, words: pd.Series, nicknames: pd.Series) -> pd.Series:
     def of(x, k, title, nicks):
@@ -292,19 +339,19 @@ def entities(pages: DataFrame, front_matter: DataFrame, links: DataFrame | None
     # Two rows of one page count once: the one with the greatest spelling.
     front = front_matter.where("page_id is not null").groupBy("page_id").agg(F.max(F.struct("title", "aliases")).alias("f")).select("page_id", "f.*")
     known = pages.select("page_id", "vault", "name").where("page_id is not null and vault is not null").distinct().join(front, "page_id")
-    known = known.where(F.col("title").isNotNull() & ~F.col("title").rlike(r"\d"))
+    known = known.where(F.col("title").isNotNull())
     known = scratch.save(known)
     shown = scratch.save(known.select(F.explode(_evidence("title", "name", "aliases")).alias("e")).select("e.*").distinct())
     firsts = shown.where("role = 'first'").select(F.col("full").alias("first"), F.lit(True).alias("is_first")).distinct()
     kinds = shown.where("role = 'kind'").select(F.col("full").alias("last"), F.lit(True).alias("is_kind")).distinct()
     nicks = shown.where("role = 'nick'").select("full", "short")
-    worded = known.withColumn("words", _words("title")).where("size(words) between 2 and 4")
+    worded = known.withColumn("words", _words("title")).where("size(words) > 1")
     worded = scratch.save(worded).withColumn("first", F.col("words")[0]).withColumn("last", F.element_at("words", -1))
     if links is not None:
         nicks = nicks.unionByName(nicknames_in_links(links, worded.join(firsts, "first", "left_semi"), firsts))
     nicks = nicks.groupBy(F.col("full").alias("first")).agg(F.collect_set("short").alias("nicknames"))
     typed = worded.join(firsts, "first", "left").join(kinds, "last", "left").join(nicks, "first", "left")
-    kind = F.when(F.col("is_kind") & (F.size("words") == 3), "organisation").when(F.col("is_first"), "person")
+    kind = F.when(F.col("is_kind"), "organisation").when(F.col("is_first"), "person")
     typed = typed.select("vault", "page_id", kind.alias("kind"), "words", F.coalesce("nicknames", F.array().cast("array<string>")).alias("nicknames"))
     return typed.where("kind is not null")
 
@@ -330,10 +377,8 @@ def variant_links(links: DataFrame, pages: DataFrame, front_matter: DataFrame) -
     fresh = texts.join(forms, "text").join(taken, ["vault", "form"], "left_anti")
     fresh = fresh.withColumn("shown", F.when(F.octet_length("text") == F.length("text"), F.col("text")).otherwise(F.col("form")))
     fresh = scratch.save(fresh)
-    looked = fresh.select("vault", "text", "shown", F.explode(_link_keys("shown")).alias("key"))
     known = scratch.save(entities(pages, front_matter, texts, scratch))
-    indexed = known.select("vault", "page_id", F.explode(_entity_keys("kind", "words", "nicknames")).alias("key"))
-    pairs = looked.join(indexed, ["vault", "key"]).select("vault", "text", "shown", "page_id").distinct()
+    pairs = candidates(fresh, known, scratch)
     costs = pairs.join(known.select("page_id", "kind", "words", "nicknames"), "page_id").withColumn("cost", _cost("shown", "kind", "words", "nicknames"))
     costs = costs.where("cost is not null and not isnan(cost)").select("vault", "text", "page_id", "cost")
     ranked = costs.groupBy("vault", "text").agg(F.min(F.struct("cost", "page_id")).alias("best"), F.min("cost").alias("least"), F.collect_list("cost").alias("costs"))

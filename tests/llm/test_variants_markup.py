@@ -24,12 +24,46 @@ def test_word_checks():
         assert variants.organisation_errors(variants.words_of(text), title, text) is None
 
 
+def test_the_ratio_decides():
+    """It rejects words one edit apart that are too short for it, and accepts two errors in long ones."""
+    assert variants.alike("kim", "tim") is None and variants.alike("anna", "anja") is None
+    assert variants.alike("wellingtonby", "welingtomby") == 2 and variants.alike("thornsen", "thornton") is None
+    assert variants.alike("arksttröm", "arkström") == 1 and variants.alike("gostadr", "gostard") == 1
+
+
 @pytest.mark.parametrize("word", ["vandeby", "arkak", "lindington", "helau"])
 def test_one_error_keeps_a_suffix(word):
-    known = variants.halves(word, 0)
+    """The longest suffixes a changed word is looked up by are indexed, at one of the ends."""
+    known = set(variants.suffixes(word))
     for i in range(1, len(word)):
         for wrong in (word[:i] + word[i + 1 :], word[:i] + "q" + word[i:], word[:i] + "q" + word[i + 1 :], word[: i - 1] + word[i] + word[i - 1] + word[i + 1 :]):
-            assert known & variants.halves(wrong, 1), wrong
+            n = variants.needed(wrong)
+            assert known & {"<" + wrong[:n], wrong[-n:] + ">"}, wrong
+
+
+def test_common_suffixes(spark):
+    """However common a suffix is, all words within one error are compared; only two errors at both ends may be lost."""
+    from lorewell.session import Scratch
+
+    names = [f"{a}{b}{c}ington" for a in "bcdfg" for b in "aei" for c in "lmnrst"]
+    known = spark.createDataFrame([(i, "v", "person", ["anna", n], []) for i, n in enumerate(names)], "page_id long, vault string, kind string, words array<string>, nicknames array<string>")
+    texts = spark.createDataFrame([("v", f"Anna {w}", f"Anna {w}") for n in names[:9] for w in (n, n[:4] + n[5:], n[:3] + "q" + n[4:])] + [("v", f"Enna {names[0]}", f"Enna {names[0]}")], "vault string, text string, shown string")
+    expected = {(r["text"], i) for r in texts.collect() for i, n in enumerate(names) if variants.alike(r["text"].split()[1], n) is not None}
+    for common in (1, 10, 1000):
+        got = {(r["text"], r["page_id"]) for r in variants.candidates(texts, known, Scratch(spark), common).collect()}
+        assert got <= expected and {(t, i) for t, i in expected if variants.alike(t.split()[1], names[i]) < 2} <= got
+        assert common < 1000 or got == expected
+
+
+def test_former_limits(spark):
+    """Organisations of two to six words, titles with digits and of five words, long initials and long links."""
+    titles = [("Helau Institute", ["Institute of Helau"]), ("Marwick Central Northern Water Power Board", ["Board of Central Northern Water Power, Marwick"]), ("Maria del Carmen van Hoogstraten", ["Hoogstraten, Maria"]), ("Orby 2000 Ceramics Society", ["Society of Ceramics, Orby"])]
+    pages = spark.createDataFrame([(i, "v", t) for i, (t, _) in enumerate(titles)], "page_id long, vault string, name string")
+    front = spark.createDataFrame([(i, t, a) for i, (t, a) in enumerate(titles)], "page_id long, title string, aliases array<string>")
+    raw = {"Helauu Institute": 0, "MCNWPB": 1, "Marwcik Central Northern Water Power Board": 1, "Hogstraten, Maria": 2, "Maria del Carmen van Hogstraten": 2, "Orby Ceramic Society": 3, "a note about what the old keepers of Marwick said at noon": None, "Board of Central and Northern Water and Power for the Marwick": 1}
+    links = spark.createDataFrame([(i, "v", t, None) for i, t in enumerate(raw)], "link_id long, vault string, display_target string, resolved long")
+    got = dict(tuple(r) for r in variants.variant_links(links, pages, front).collect())
+    assert got == {i: page for i, page in enumerate(raw.values()) if page is not None}
 
 
 def test_variants_on_tables(spark):
