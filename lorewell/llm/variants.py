@@ -2,13 +2,13 @@
 
 Method: suffix blocking. The telling word of every entity (a person's surname, an
 organisation's place) is indexed by all its suffixes of at least ``LEAST`` letters, of the
-word and of the word reversed. Each is refined with further fields first, the vault and the
-first or last letter of another word. A word of a link is looked up by its shortest suffix
-that, so refined, is not overly common; longer suffixes than (almost) half a word are never
-needed, as one typing error leaves one half intact, and so that half is used however common
-it is. Pairs of words are compared by longest-common-subsequence ratio, which alone decides
-whether two words are spellings of one; names are then compared word by word: initials,
-nicknames, abbreviations, acronyms, reordered and left-out parts.
+word and of the word reversed, and refined by the vault. A word of a link is looked up by
+its shortest suffix that, so refined, is not overly common; longer suffixes than (almost)
+half a word are never needed, as one typing error leaves one half intact, and so that half
+is used however common it is. Pairs of words are compared by longest-common-subsequence
+ratio, which alone decides whether two words are spellings of one. Links and pages meet
+where such words stand beside others that begin or end alike; names are then compared word
+by word: initials, nicknames, abbreviations, acronyms, reordered and left-out parts.
 
 Which titles are persons or organisations, and which short forms belong to a first name,
 is learned from all titles, names and aliases: a comma form or a known nickname beside the
@@ -29,7 +29,7 @@ from lorewell.session import Scratch
 
 #: Letters of the shortest indexed suffix, and the least common-subsequence ratio of two words.
 LEAST, RATIO = 2, 0.8
-#: Entities that share a refined suffix from which it is overly common, so that a longer one is asked for.
+#: Telling words of a vault that share a suffix from which it is overly common, so that a longer one is asked for.
 COMMON = 32
 
 # What may stand before or after a person's name, and words without weight in names of organisations.
@@ -231,31 +231,23 @@ def _words(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else words_of(x))
 
 
-_KEYS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("mark", T.StringType()), T.StructField("suffix", T.StringType()), T.StructField("letters", T.IntegerType())]))
+_MARKED = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("word", "mark")]))
 
 
-def _keys(words: list[tuple[str, str]], most) -> list[dict]:
-    return [{"word": w, "mark": m, "suffix": x, "letters": len(x) - 1} for w, m in words for x in suffixes(w, most(w))]
-
-
-def _whole(word: str) -> dict:
-    return {"word": word, "mark": "=", "suffix": "=", "letters": 0}
-
-
-@F.pandas_udf(_KEYS)
-def _entity_keys(kind: pd.Series, words: pd.Series, nicknames: pd.Series) -> pd.Series:
-    """Every suffix of an entity's telling word with the marks of its other words; its initials as a word of their own."""
+@F.pandas_udf(_MARKED)
+def _entity_words(kind: pd.Series, words: pd.Series, nicknames: pd.Series) -> pd.Series:
+    """An entity's telling word with the marks of its other words; its initials as a word of their own."""
 
     def of(k, w, nicks):
         w = list(w)
-        telling, others = (w[-1], [w[0], *nicks]) if k == "person" else (w[0], w[1:])
-        whole = [] if k == "person" else [_whole("".join(x[0] for x in w))]
-        return _keys([(telling, m) for m in sorted(marks(others) | {"^" + w[0][0]} if k == "person" else marks(others))], len) + whole
+        if k == "person":
+            return [{"word": w[-1], "mark": m} for m in sorted(marks([w[0], *nicks]))]
+        return [{"word": w[0], "mark": m} for m in sorted(marks(w[1:]))] + [{"word": "".join(x[0] for x in w), "mark": "="}]
 
     return pd.Series([of(*x) for x in zip(kind, words, nicknames)])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("word", "mark")])))
+@F.pandas_udf(_MARKED)
 def _link_words(text: pd.Series) -> pd.Series:
     """Each word of a link that may be the telling one, with the marks of the others; its initials as a word of their own."""
 
@@ -269,9 +261,14 @@ def _link_words(text: pd.Series) -> pd.Series:
     return text.map(of)
 
 
-@F.pandas_udf(_KEYS)
-def _lookup_keys(word: pd.Series, mark: pd.Series) -> pd.Series:
-    return pd.Series([_keys([(w, m)], needed) for w, m in zip(word, mark)])
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_suffixes(word: pd.Series) -> pd.Series:
+    return word.map(suffixes)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _needed_suffixes(word: pd.Series) -> pd.Series:
+    return word.map(lambda w: suffixes(w, needed(w)))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -279,28 +276,34 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x, y) is not None for x, y in zip(a, b)], dtype=bool)
 
 
+def near_words(asked: DataFrame, telling: DataFrame, common: int = COMMON) -> DataFrame:
+    """(vault, word, telling) of the alike words, by their suffixes; both inputs are distinct (vault, word)."""
+    index = telling.select("vault", F.col("word").alias("telling"), F.explode(_all_suffixes("word")).alias("suffix"))
+    looked = asked.select("vault", "word", F.explode(_needed_suffixes("word")).alias("suffix")).withColumn("letters", F.length("suffix") - 1)
+    # The shortest suffix of each end that is not overly common; the longest that is asked for, however common.
+    counts = index.groupBy("vault", "suffix").agg(F.count("*").alias("n"))
+    last = F.greatest(F.lit(LEAST), F.floor((F.length("word") - 1) / 2))
+    found = looked.join(counts, ["vault", "suffix"]).where((F.col("n") <= common) | (F.col("letters") >= last))
+    chosen = found.groupBy("vault", "word", F.col("suffix").startswith("<").alias("reversed")).agg(F.min_by("suffix", "letters").alias("suffix"))
+    near = chosen.join(index, ["vault", "suffix"]).select("vault", "word", "telling").distinct()
+    return near.where(_alike("word", "telling"))
+
+
 def candidates(texts: DataFrame, known: DataFrame, scratch: Scratch, common: int = COMMON) -> DataFrame:
-    """(vault, text, shown, page_id) of the links with a word alike to the telling word of an entity.
+    """(vault, text, shown, page_id) of the links with a word alike to the telling word of an
+    entity, and another word that begins or ends like one of its others.
 
-    Words are looked up once a vault, not once a link. ``texts`` is (vault, text, shown),
-    ``known`` what ``entities`` gives.
+    Words are compared once a vault, not once a link or page. ``texts`` is (vault, text,
+    shown), ``known`` what ``entities`` gives.
     """
-    index = known.select("vault", "page_id", F.explode(_entity_keys("kind", "words", "nicknames")).alias("k")).select("vault", "page_id", F.col("k.word").alias("telling"), "k.mark", "k.suffix")
-    index = scratch.save(index)
+    index = scratch.save(known.select("vault", "page_id", F.explode(_entity_words("kind", "words", "nicknames")).alias("k")).select("vault", "page_id", "k.*"))
     held = scratch.save(texts.select("vault", "text", "shown", F.explode(_link_words("shown")).alias("w")).select("vault", "text", "shown", "w.*"))
-    asked = held.select("vault", "word", "mark").distinct()
-    looked = asked.where("mark <> '='").select("vault", F.explode(_lookup_keys("word", "mark")).alias("k")).select("vault", "k.*")
-    # The shortest suffix of each end that is not overly common; the longest that is asked for, however common.
-    counts = index.where("mark <> '='").groupBy("vault", "mark", "suffix").agg(F.count("*").alias("n"))
-    end = F.when(F.col("suffix").startswith("<"), "<").otherwise(">")
-    found = looked.join(counts, ["vault", "mark", "suffix"]).withColumn("end", end)
-    last = F.greatest(F.lit(LEAST), F.floor((F.length("word") - 1) / 2))
-    found = found.where((F.col("n") <= common) | (F.col("letters") >= last))
-    chosen = found.groupBy("vault", "word", "mark", "end").agg(F.min_by("suffix", "letters").alias("suffix")).drop("end")
-    near = chosen.join(index, ["vault", "mark", "suffix"]).select("vault", "word", "mark", "telling", "page_id").distinct()
-    near = near.where(_alike("word", "telling")).select("vault", "word", "mark", "page_id")
-    whole = asked.where("mark = '='").join(index.where("mark = '='").select("vault", F.col("telling").alias("word"), "page_id"), ["vault", "word"]).select("vault", "word", "mark", "page_id")
-    return held.join(near.unionByName(whole), ["vault", "word", "mark"]).select("vault", "text", "shown", "page_id").distinct()
+    words = lambda frame: frame.where("mark <> '='").select("vault", "word").distinct()
+    near = scratch.save(near_words(words(held), scratch.save(words(index)), common))
+    parts = held.where("mark <> '='").join(near, ["vault", "word"]).join(index.withColumnRenamed("word", "telling"), ["vault", "telling", "mark"])
+    whole = held.where("mark = '='").join(index.where("mark = '='").select("vault", "word", "page_id"), ["vault", "word"])
+    columns = ["vault", "text", "shown", "page_id"]
+    return parts.select(*columns).unionByName(whole.select(*columns)).distinct()
 
 
 @F.pandas_udf(T.DoubleType())
