@@ -139,3 +139,18 @@ def sampled_pairs(places: DataFrame, samples: int, seed: int = 1) -> DataFrame:
 def path_statistics(distances: DataFrame) -> DataFrame:
     """(vault, pairs, average, longest) over (vault, distance)."""
     return distances.groupBy("vault").agg(F.count("*").alias("pairs"), F.avg("distance").alias("average"), F.max("distance").alias("longest"))
+
+
+def longer_than_average(found: DataFrame) -> DataFrame:
+    """The rows of (vault, distance, ...) whose distance is above their vault's average."""
+    mean = found.groupBy("vault").agg(F.avg("distance").alias("average"))
+    return found.join(mean, "vault").where("distance > average").drop("average")
+
+
+def longest(found: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """(vault, source, target, distance, path, place): the longest paths of each vault; of equal ones those whose names come first."""
+    low = names.select(F.col("page_id").alias("node"), F.lower("name").alias("low"))
+    steps = found.select("vault", "source", "target", "distance", "path", F.posexplode("path").alias("at", "node")).join(low, "node")
+    named = steps.groupBy("vault", "source", "target", "distance", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "low"))), lambda x: x["low"]).alias("names"))
+    order = Window.partitionBy("vault").orderBy(F.desc("distance"), "names", "source", "target")  # a bounded sample
+    return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("names")

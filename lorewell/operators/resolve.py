@@ -58,6 +58,19 @@ def identifiers(documents: DataFrame, front: DataFrame) -> DataFrame:
     return every.where("id_key <> ''").select("vault", "id_key", "page_id").distinct()
 
 
+def lookups(documents: DataFrame, front: DataFrame, asked: DataFrame) -> DataFrame:
+    """(vault, id_key, outcome, page_id) of many (vault, id_key): 'found', 'not found' or 'ambiguous'.
+
+    A page's own key comes before names, titles and aliases.
+    """
+    own = documents.select("vault", F.col("key").alias("id_key"), F.col("page_id").alias("own"))
+    named = identifiers(documents, front).groupBy("vault", "id_key").agg(F.count("*").alias("pages"), F.min("page_id").alias("named"))
+    joined = asked.select("vault", "id_key").distinct().join(own, ["vault", "id_key"], "left").join(named, ["vault", "id_key"], "left")
+    page = F.coalesce("own", F.when(F.col("pages") == 1, F.col("named")))
+    outcome = F.when(page.isNotNull(), "found").when(F.col("pages").isNull(), "not found").otherwise("ambiguous")
+    return joined.select("vault", "id_key", outcome.alias("outcome"), page.alias("page_id"))
+
+
 def lookup(documents: DataFrame, front: DataFrame, identifier: str, vault: str) -> int:
     """The page an identifier means in a vault: by its own key, else by name, title or alias.
 
@@ -65,15 +78,12 @@ def lookup(documents: DataFrame, front: DataFrame, identifier: str, vault: str)
     """
     from lorewell.functions.names import document_key
 
-    key = document_key(identifier)
     here = documents.where(F.col("vault") == vault)
-    own = here.where(F.col("key") == key).select("page_id").head(1) if key else []
-    if own:
-        return own[0]["page_id"]
-    found = identifiers(here, front).where(F.col("id_key") == key).select("page_id").head(2) if key else []
-    if not found:
+    asked = documents.sparkSession.createDataFrame([(vault, document_key(identifier))], "vault string, id_key string").where("id_key <> ''")
+    found = lookups(here, front, asked).head(1)
+    if not found or found[0]["outcome"] == "not found":
         raise LookupError(f'document "{identifier}" not found')
-    if len(found) > 1:
+    if found[0]["outcome"] == "ambiguous":
         raise LookupError(f'document identifier "{identifier}" is ambiguous')
     return found[0]["page_id"]
 

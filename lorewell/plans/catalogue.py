@@ -92,11 +92,6 @@ def links_resolved(spark: SparkSession, folder: str) -> DataFrame:
     return _wiki(spark, folder).links.select("src_page", "link_pos", "target_key", "resolved")
 
 
-@query()
-def link_only_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return _wiki(spark, folder).link_only_lines
-
-
 @query(f"WITH {_LINKS} SELECT vault, src, dst FROM edge")
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     return _wiki(spark, folder).edges
@@ -151,16 +146,15 @@ def islands(spark: SparkSession, folder: str) -> DataFrame:
     return _wiki(spark, folder).islands()
 
 
-@query(f"""
+#: The report of lint but for its lines with nothing but a link.
+LINT = f"""
 {_LABELS}, {_SIZES}, base AS (
   SELECT vault, count(*) AS documents, count(*) FILTER (trim(excerpt) <> '') AS covered, count(*) FILTER (page_id NOT IN (SELECT a FROM adj)) AS orphans FROM docs GROUP BY vault),
 part AS (SELECT vault, max(pages) AS largest, count(*) - 1 AS islands FROM sizes GROUP BY vault)
 SELECT b.vault, documents, covered, orphans, coalesce(islands, 0) AS islands, coalesce(largest, 1) AS largest, coalesce(largest, 1) / documents::DOUBLE AS largest_component_ratio,
        orphans / documents::DOUBLE AS orphan_rate, covered / documents::DOUBLE AS content_coverage
 FROM base b LEFT JOIN part p ON p.vault = b.vault
-""")
-def lint_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return _wiki(spark, folder).lint().drop("link_only_lines")
+"""
 
 
 _DISTANCES = f"""
@@ -305,16 +299,12 @@ def length_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, len(shingles)::INTEGER AS shingle_count, len(winnow)::INTEGER AS winnow_count, shingles[1] AS least, shingles[-1] AS greatest, winnow[1] AS winnow_least,
-       list_sum(list_transform(shingles, lambda x: x % 1000003))::BIGINT AS shingle_sum, list_sum(list_transform(winnow, lambda x: x % 1000003))::BIGINT AS winnow_sum FROM fingerprints
+SELECT page_id, len(shingles)::INTEGER AS shingle_count, len(winnow)::INTEGER AS winnow_count, md5(array_to_string(shingles, ',')) AS shingles, md5(array_to_string(winnow, ',')) AS winnow FROM fingerprints
 """)
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    found = _wiki(spark, folder).fingerprints
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x % 1000003)
-    return found.select(
-        "page_id", F.size("shingles").alias("shingle_count"), F.size("winnow").alias("winnow_count"), F.element_at("shingles", 1).alias("least"), F.element_at("shingles", -1).alias("greatest"),
-        F.element_at("winnow", 1).alias("winnow_least"), total("shingles").alias("shingle_sum"), total("winnow").alias("winnow_sum"),
-    )
+    """Fingerprints as digests of their lists."""
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(c)
+    return _wiki(spark, folder).fingerprints.select("page_id", F.size("shingles").alias("shingle_count"), F.size("winnow").alias("winnow_count"), digest("shingles"), digest("winnow"))
 
 
 _PAIRS = """
@@ -368,11 +358,6 @@ def shared_names(spark: SparkSession, folder: str) -> DataFrame:
     return _wiki(spark, folder).documents.groupBy("key").agg(F.count("*").alias("vaults")).where("vaults > 1")
 
 
-@query()
-def formatted_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return _wiki(spark, folder).formatted()
-
-
 @query(f"""
 WITH {_LINKS}, old AS (SELECT page_id, vault, key FROM docs ORDER BY page_id LIMIT 1), n AS (SELECT l.src_page AS page_id, count(*) AS links FROM l JOIN old ON l.vault = old.vault AND l.tk = old.key GROUP BY l.src_page)
 SELECT coalesce(n.page_id, old.page_id) AS page_id, coalesce(n.links, 0)::INTEGER AS links FROM n FULL JOIN old ON n.page_id = old.page_id
@@ -405,3 +390,6 @@ def nested_files(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT c_custkey AS src_page, CASE WHEN c_custkey % 5 < 4 THEN c_nationkey + 1000000000::BIGINT END AS resolved FROM customer")
 def nested_links(spark: SparkSession, folder: str) -> DataFrame:
     return Wiki(nested_files(spark, folder), nested=True).links.select("src_page", "resolved")
+
+
+from lorewell.plans import texts  # noqa: E402, F401  (registers its queries)
