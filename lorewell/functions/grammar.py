@@ -240,10 +240,20 @@ def parse(text: str) -> Note:
     return Note(front, excerpt, links, link_only)
 
 
+def _visible(text: str) -> list[str]:
+    front = front_matter(text)
+    return [collapse(shown) for _, _, shown, hidden in body_lines(text[front.end :]) if shown and not hidden]
+
+
+def sizes(text: str) -> tuple[int, int]:
+    """Visible lines and words of the body of a note."""
+    visible = _visible(text)
+    return len(visible), sum(len(words(line)) for line in visible)
+
+
 def statistics(text: str) -> tuple[int, int, str]:
     """Visible lines, words, and the normalised text of the body of a note."""
-    front = front_matter(text)
-    visible = [collapse(shown) for _, _, shown, hidden in body_lines(text[front.end :]) if shown and not hidden]
+    visible = _visible(text)
     joined = "".join(line + "\n" for line in visible)
     return len(visible), len(words(joined)), normalised(joined)
 

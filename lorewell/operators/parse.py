@@ -21,8 +21,8 @@ NOTE = (
     "aliases array<string>, links array<struct<kind:string,display_target:string,target_key:string,raw_target:string,context:string>>, "
     "link_only array<struct<line:int,text:string>>"
 )
-STATS = "page_id long, visible_lines int, words int, norm string"
-PRINT = "page_id long, shingles array<long>, winnow array<long>"
+STATS = "page_id long, vault string, rel_path string, visible_lines int, words int, norm string"
+PRINT = "page_id long, vault string, shingles array<long>, winnow array<long>"
 
 
 def latest(files: DataFrame) -> DataFrame:
@@ -66,10 +66,29 @@ def statistics(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(page, *(grammar.statistics(text) if text is not None else (None, None, None))) for page, text in batch.itertuples(index=False, name=None)]
-            yield pd.DataFrame(rows, columns=["page_id", "visible_lines", "words", "norm"]).astype({"visible_lines": "Int32", "words": "Int32"})
+            rows = [(page, vault, without_extension(file), *(grammar.statistics(text) if text is not None else (None, None, None))) for page, vault, file, text in batch.itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATS.split(", ")]).astype({"visible_lines": "Int32", "words": "Int32"})
 
-    return pages.select(F.col("page_id").cast("long"), "content").mapInPandas(run, STATS)
+    return pages.select(F.col("page_id").cast("long"), "vault", "rel_file", "content").mapInPandas(run, STATS)
+
+
+def sizes(files: DataFrame) -> DataFrame:
+    """(page_id, vault, rel_path, visible_lines, words) of the newest readable delivery of each page.
+
+    Every delivery is measured where it is read; only the measures are shuffled to find the newest.
+    """
+    schema = f"page_id long, vault string, rel_path string, visible_lines int, words int, readable boolean, received_at {files.schema['received_at'].dataType.simpleString()}, digest long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            measured = [grammar.sizes(x) if x is not None else (None, None) for x in batch["content"]]
+            out = batch[["page_id", "vault"]].assign(rel_path=batch["rel_file"].map(without_extension))
+            out["visible_lines"], out["words"] = (pd.array([m[i] for m in measured], "Int32") for i in (0, 1))
+            yield out.assign(readable=batch["content"].notna(), received_at=batch["received_at"], digest=batch["digest"])
+
+    rows = files.where("page_id is not null").select(F.col("page_id").cast("long"), "vault", "rel_file", "received_at", "content", F.xxhash64("content").alias("digest"))
+    newest = F.max_by(F.struct("vault", "rel_path", "visible_lines", "words"), F.struct("readable", "received_at", "digest"))
+    return rows.mapInPandas(run, schema).groupBy("page_id").agg(newest.alias("r")).select("page_id", "r.*")
 
 
 def fingerprints(stats: DataFrame, least_words: int = 40, least_shingles: int = 24) -> DataFrame:
@@ -77,15 +96,16 @@ def fingerprints(stats: DataFrame, least_words: int = 40, least_shingles: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages, shingles, winnow = [], [], []
-            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            kept, shingles, winnow = [], [], []
+            for at, text in enumerate(batch.column(2).to_pylist()):
                 grams, least = fingerprint(text)
                 if len(grams) >= least_shingles:
-                    pages.append(page)
+                    kept.append(at)
                     shingles.append(grams)
                     winnow.append(least)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (shingles, winnow)]
-            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), *lists], ["page_id", "shingles", "winnow"])
+            own = [batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, *lists], ["page_id", "vault", "shingles", "winnow"])
 
     eligible = stats.where((F.col("words") >= max(least_words, 20)) & F.col("norm").isNotNull())
-    return eligible.select(F.col("page_id").cast("long"), "norm").mapInArrow(run, PRINT)
+    return eligible.select(F.col("page_id").cast("long"), "vault", "norm").mapInArrow(run, PRINT)

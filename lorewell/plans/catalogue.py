@@ -295,7 +295,7 @@ WITH {_STATS}, c AS (SELECT vault, count(*) AS pages, count(*) FILTER (visible_l
 SELECT *, long_pages / pages::DOUBLE AS long_rate, short_pages / pages::DOUBLE AS short_rate FROM c
 """)
 def length_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return lengths.rates(_wiki(spark, folder).statistics)
+    return lengths.rates(_wiki(spark, folder).sizes)
 
 
 @query("""

@@ -180,7 +180,7 @@ def suggest(wiki: Wiki, filters: tuple[str, ...] = FILTERS, samples: int = 2000,
     for name, label in (("long-pages", "long_pages"), ("short-stubs", "short_stubs")):
         if name not in filters:
             continue
-        stats = wiki.statistics
+        stats = wiki.sizes
         rates = lengths.rates(stats, long_lines, long_words, short_words).head(1)
         if name == "long-pages":
             hits, head = lengths.long_pages(stats, limit, long_lines, long_words), f"threshold_lines={long_lines} threshold_words={long_words} rate={rates[0]['long_rate'] if rates else 0:.4f}"
@@ -206,4 +206,4 @@ def suggest(wiki: Wiki, filters: tuple[str, ...] = FILTERS, samples: int = 2000,
 def fingerprints_for(wiki: Wiki, short_words: int) -> DataFrame:
     from lorewell.operators import parse
 
-    return parse.fingerprints(wiki.statistics, max(short_words, 20)).join(wiki.pages.select("page_id", "vault"), "page_id")
+    return parse.fingerprints(wiki.statistics, max(short_words, 20))

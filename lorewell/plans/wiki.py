@@ -71,12 +71,15 @@ class Wiki:
 
     @cached_property
     def statistics(self) -> DataFrame:
-        stats = parse.statistics(self.pages)
-        return stats.join(self.pages.select("page_id", "vault", F.regexp_replace("rel_file", r"(?i)\.md$", "").alias("rel_path")), "page_id")
+        return parse.statistics(self.pages)
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return parse.sizes(self.files)
 
     @cached_property
     def fingerprints(self) -> DataFrame:
-        return parse.fingerprints(self.statistics).join(self.pages.select("page_id", "vault"), "page_id")
+        return parse.fingerprints(self.statistics)
 
     def duplicate_keys(self) -> DataFrame:
         return resolve.duplicate_keys(self.documents)
@@ -142,10 +145,10 @@ class Wiki:
         return wanted.wanted_sources(self.links, self.documents)
 
     def long_pages(self, **options) -> DataFrame:
-        return lengths.long_pages(self.statistics, **options)
+        return lengths.long_pages(self.sizes, **options)
 
     def short_pages(self, **options) -> DataFrame:
-        return lengths.short_pages(self.statistics, **options)
+        return lengths.short_pages(self.sizes, **options)
 
     def near_duplicates(self, **options) -> DataFrame:
         prints = self.scratch.save(self.fingerprints)

@@ -16,7 +16,7 @@ def statistics_stream(files: DataFrame, delay: str = "7 days") -> DataFrame:
     """Statistics of every delivered content once; a page delivered again within ``delay`` is dropped."""
     timed = files.where("content is not null and received_at is not null").withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", delay)
     fresh = timed.withColumn("digest", F.xxhash64("content")).dropDuplicatesWithinWatermark(["page_id", "digest"])
-    return parse.statistics(fresh.select("page_id", "content"))
+    return parse.statistics(fresh.select("page_id", "vault", "rel_file", "content"))
 
 
 def missing_link_windows(links: DataFrame, window: str = "1 day", delay: str = "30 days") -> DataFrame:

@@ -165,3 +165,13 @@ def test_streams(spark, data, tmp_path):
     got = {r["page_id"]: r["norm"] for r in spark.table("stats").collect()}
     assert got == {r["page_id"]: r["norm"] for r in spark.read.parquet(f"{data}/page_stats.parquet").collect() if r["norm"] is not None and r["page_id"] in got}
     assert len(got) > 10
+
+
+def test_files_are_read_and_shuffled_once(spark, data):
+    """One scan and one exchange for statistics and fingerprints; sizes shuffle no text."""
+    w = Wiki.of_tables(spark, data)
+    for frame, scans in ((w.statistics, 1), (w.fingerprints, 1), (w.sizes, 1)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == scans and plan.count("Exchange hashpartitioning") == 1
+    optimised = w.sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in optimised.split("MapInPandas")[0]
