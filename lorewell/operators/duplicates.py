@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 POSTINGS, SUPPORT, THRESHOLD, SHARED = 64, 3, 0.82, 24
 
@@ -25,38 +29,44 @@ def candidates(prints: DataFrame, postings: int = POSTINGS, support: int = SUPPO
     return pairs.groupBy("vault", "a", "b").agg(F.count("*").alias("hits")).where(F.col("hits") >= support)
 
 
-#: Share of a shingle set, its smallest hashes, that decides most pairs before whole sets are compared.
-HEAD = 0.3
+#: Long words of the bit map of a shingle set.
+WORDS = 32
 
 
-@F.pandas_udf(T.BooleanType())
-def _possible(x: pd.Series, y: pd.Series, m: pd.Series, n: pd.Series, needed: pd.Series) -> pd.Series:
-    """Whether two sorted sets, of which the smallest hashes are given, can still share ``needed``.
+def bit_maps(prints: DataFrame) -> DataFrame:
+    """(page_id, size, w0, w1, ...): each shingle set as a map of ``64 * WORDS`` bits, set by hash."""
 
-    Hashes up to the smaller of both last ones are known of both sets; what one set lacks
-    of the other's there, it lacks altogether.
-    """
-    found = np.ones(len(x), dtype=bool)
-    for k, (a, b, size_a, size_b, least) in enumerate(zip(x, y, m, n, needed)):
-        last = min(a[-1], b[-1])
-        a, b = a[: np.searchsorted(a, last, "right")], b[: np.searchsorted(b, last, "right")]
-        at = np.searchsorted(b, a)
-        shared = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-        found[k] = len(a) - shared <= size_a - least and len(b) - shared <= size_b - least
-    return pd.Series(found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(1)
+            sizes = np.diff(np.asarray(sets.offsets))
+            mixed = np.asarray(sets.flatten()).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bit = mixed >> np.uint64(64 - (64 * WORDS).bit_length() + 1)
+            words = np.zeros((len(sizes), WORDS), np.uint64)
+            np.bitwise_or.at(words, (np.repeat(np.arange(len(sizes)), sizes), (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+            columns = [pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), *columns], ["page_id", "size", *[f"w{i}" for i in range(WORDS)]])
+
+    schema = "page_id long, size int, " + ", ".join(f"w{i} long" for i in range(WORDS))
+    return prints.select(F.col("page_id").cast("long"), "shingles").where("shingles is not null").mapInArrow(run, schema)
 
 
 def possible(pairs: DataFrame, prints: DataFrame, threshold: float, least_shared: int) -> DataFrame:
-    """The pairs that can reach the threshold; an exact filter, which reads a part of each set."""
-    head = F.slice("shingles", 1, F.greatest(F.ceil(HEAD * F.size("shingles")), F.lit(1)).cast("int"))
-    heads = prints.select("page_id", head.alias("head"), F.size("shingles").alias("size"))
-    joined = pairs.select("vault", "a", "b").join(heads.select(F.col("page_id").alias("a"), F.col("head").alias("x"), F.col("size").alias("m")), "a")
-    joined = joined.join(heads.select(F.col("page_id").alias("b"), F.col("head").alias("y"), F.col("size").alias("n")), "b")
+    """The pairs that can reach the threshold; an exact filter, which reads a bit map of each set.
+
+    A bit that only one of two sets has stands for at least one shingle the other lacks, so
+    the bits of one set without the other bound from above what both share.
+    """
+    maps = bit_maps(prints)
+    side = lambda page, size, mark: maps.select(F.col("page_id").alias(page), F.col("size").alias(size), *[F.col(f"w{i}").alias(f"{mark}{i}") for i in range(WORDS)])
+    joined = pairs.select("vault", "a", "b").join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
     small, large = F.least("m", "n"), F.greatest("m", "n")
     by_jaccard = F.ceil(threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-9)
     by_containment = F.ceil(threshold / 0.95 * small - 1e-9)
     needed = F.greatest(F.lit(least_shared), F.when(small / large >= 0.6, F.least(by_jaccard, by_containment)).otherwise(by_jaccard)).cast("int")
-    return joined.withColumn("needed", needed).where(F.col("needed") <= small).where(_possible("x", "y", "m", "n", "needed")).select("vault", "a", "b")
+    lacks = lambda one, other: reduce(operator.add, [F.bit_count(F.col(f"{one}{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}{i}")))) for i in range(WORDS)])
+    fits = (F.col("needed") <= small) & (lacks("x", "y") <= F.col("m") - F.col("needed")) & (lacks("y", "x") <= F.col("n") - F.col("needed"))
+    return joined.withColumn("needed", needed).where(fits).select("vault", "a", "b")
 
 
 def scored(pairs: DataFrame, prints: DataFrame) -> DataFrame:

@@ -61,51 +61,71 @@ def orphans(documents: DataFrame, neighbours: DataFrame) -> DataFrame:
 def shortest(neighbours: DataFrame, names: DataFrame, pairs: DataFrame, paths: bool, scratch: Scratch | None = None) -> DataFrame:
     """(source, target, distance[, path]) of each reachable pair; ``path`` holds page ids.
 
-    Of several shortest paths the one whose lower-case names come first is taken. All
-    sources advance together; a source stops when its targets are found. In an undirected
+    Of several shortest paths the one whose lower-case names come first is taken. Both ends
+    of all pairs advance together, a level each a round, and a pair is done where its two
+    levels meet: so each end sees half the way, not its whole component. In an undirected
     graph a new level can only repeat the two before it, so only those are kept apart.
     ``pairs`` is (source, target), ``names`` (page_id, name).
     """
     scratch = scratch or Scratch(neighbours.sparkSession)
-    pairs = scratch.save(pairs.select("source", "target").distinct())
+    open_pairs = scratch.save(pairs.select("source", "target").distinct())
     graph = neighbours.select(F.col("a").alias("node"), F.col("b").alias("next"))
     if paths:
         graph = graph.join(names.select(F.col("page_id").alias("next"), F.lower("name").alias("next_name")), "next")
     graph = scratch.save(graph)
-    at = pairs.select("source").distinct().withColumn("node", F.col("source"))
-    if paths:
+
+    def start(end: str) -> DataFrame:
+        at = open_pairs.select(end).distinct().withColumn("node", F.col(end))
+        if not paths:
+            return at
         own = names.select(F.col("page_id").alias("node"), F.lower("name").alias("low"))
-        at = at.join(own, "node").select("source", "node", F.array(F.struct("low", F.col("node").alias("id"))).alias("path"))
-    level = scratch.save(at)
-    before = level.limit(0)
-    found = [scratch.save(_reached(level, pairs, 0, paths))]
-    open_pairs = scratch.save(pairs.join(found[0], ["source", "target"], "left_anti"))
-    distance = 0
-    while not open_pairs.isEmpty():
-        distance += 1
-        live = level.join(open_pairs.select("source").distinct(), "source", "left_semi").join(graph, "node")
+        return at.join(own, "node").select(end, "node", F.array(F.struct("low", F.col("node").alias("id"))).alias(f"from_{end}"))
+
+    def grown(end: str, level: DataFrame, before: DataFrame | None, open_pairs: DataFrame) -> DataFrame:
+        live = level.join(open_pairs.select(end).distinct(), end, "left_semi").join(graph, "node")
         if paths:
-            step = live.select("source", F.col("next").alias("node"), F.concat("path", F.array(F.struct(F.col("next_name").alias("low"), F.col("next").alias("id")))).alias("path"))
-            step = step.groupBy("source", "node").agg(F.min("path").alias("path"))
+            here, way = F.array(F.struct(F.col("next_name").alias("low"), F.col("next").alias("id"))), F.col(f"from_{end}")
+            longer = F.concat(way, here) if end == "source" else F.concat(here, way)
+            step = live.select(end, F.col("next").alias("node"), longer.alias("way")).groupBy(end, "node").agg(F.min("way").alias(f"from_{end}"))
         else:
-            step = live.select("source", F.col("next").alias("node")).distinct()
-        seen = level.select("source", "node").unionByName(before.select("source", "node"))
-        following = scratch.save(step.join(seen, ["source", "node"], "left_anti"))
-        if following.isEmpty():
-            break
-        found.append(scratch.save(_reached(following, open_pairs, distance, paths)))
-        open_pairs = scratch.save(open_pairs.join(found[-1], ["source", "target"], "left_anti"))
-        before, level = level, following
-    result = found[0]
-    for part in found[1:]:
+            step = live.select(end, F.col("next").alias("node")).distinct()
+        seen = level.select(end, "node")
+        if before is not None:
+            seen = seen.unionByName(before.select(end, "node"))
+        return scratch.save(step.join(seen, [end, "node"], "left_anti"))
+
+    def met(open_pairs: DataFrame, ahead: DataFrame, behind: DataFrame, distance: int) -> DataFrame:
+        meeting = open_pairs.join(ahead, "source").join(behind, ["target", "node"])
+        columns = ["source", "target", F.lit(distance).cast("long").alias("distance")]
+        if not paths:
+            return meeting.select(*columns).distinct()
+        rest = F.slice("from_target", 2, F.greatest(F.size("from_target") - 1, F.lit(0)))
+        return meeting.select(*columns, F.concat("from_source", rest).alias("path")).groupBy("source", "target", "distance").agg(F.min("path").alias("path"))
+
+    ahead, behind, ahead_before, behind_before = scratch.save(start("source")), scratch.save(start("target")), None, None
+    found = scratch.save(met(open_pairs, ahead, behind, 0))
+    results = [found]
+    open_pairs = scratch.save(open_pairs.join(found, ["source", "target"], "left_anti"))
+    distance = 0
+    while not open_pairs.isEmpty():
+        following = grown("source", ahead, ahead_before, open_pairs)
+        ahead_before, ahead = ahead, following
+        following = grown("target", behind, behind_before, open_pairs)
+        behind_before, behind = behind, following
+        # Ends met after one step more of the source, or after one more of both.
+        first, second = met(open_pairs, ahead, behind_before, distance + 1), met(open_pairs, ahead, behind, distance + 2)
+        value = F.struct("distance", *(["path"] if paths else []))
+        hits = first.unionByName(second).groupBy("source", "target").agg(F.min(value).alias("v")).select("source", "target", "v.*")
+        state = scratch.save(open_pairs.join(hits, ["source", "target"], "left"))
+        results.append(state.where("distance is not null"))
+        # A pair with an end that reaches nothing new has no path.
+        rest = state.where("distance is null").select("source", "target")
+        open_pairs = scratch.save(rest.join(ahead.select("source").distinct(), "source", "left_semi").join(behind.select("target").distinct(), "target", "left_semi"))
+        distance += 2
+    result = results[0]
+    for part in results[1:]:
         result = result.unionByName(part)
-    return result
-
-
-def _reached(level: DataFrame, pairs: DataFrame, distance: int, paths: bool) -> DataFrame:
-    hit = level.withColumnRenamed("node", "target").join(pairs, ["source", "target"])
-    columns = ["source", "target", F.lit(distance).cast("long").alias("distance")]
-    return hit.select(*columns, *([F.transform("path", lambda x: x["id"]).alias("path")] if paths else []))
+    return result.select("source", "target", "distance", *([F.transform("path", lambda x: x["id"]).alias("path")] if paths else []))
 
 
 def sampled_pairs(places: DataFrame, samples: int, seed: int = 1) -> DataFrame:
