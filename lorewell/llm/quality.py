@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 FIT_ROWS = 5000
 
 STATS = ("words", "visible_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "punct_end_share", "common_share",
-         "item_share", "aligned_share", "indent_period", "length_autocorrelation", "prose_share")
+         "item_share", "aligned_share", "column_share", "indent_period", "length_autocorrelation")
 _TYPES = "words int, visible_lines int, " + ", ".join(f"{name} double" for name in STATS[2:])
 _FEATURES = STATS[2:]
 
@@ -32,7 +32,7 @@ _ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+(?:\[[ xX]\]\s+)?")
 _WIKI_LINK = re.compile(r"!?\[\[([^\[\]|]*?)(?:\\?\|([^\[\]]*))?\]\]")
 _MD_LINK = re.compile(r"!?\[([^\[\]]*)\]\((?:<[^<>\n]*>|[^()\s]*)[^()\n]*\)")
 _CODE = re.compile(r"`+[^`\n]*`+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|\{\{[^{}\n]*\}\}")
 _END = re.compile(r"[.!?:。！？…][\W_]*(?:\d{1,2}[\W_]*)?$")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _SEPARATOR = re.compile(r"[\s|:+-]+")
@@ -66,15 +66,24 @@ def _plain(line: str) -> str:
     return _TAG.sub("", _CODE.sub("x", line))
 
 
-def aligned(lines: list[str]) -> list[bool]:
-    """Whether each line has delimiters that recur, as many times, in the line above or below."""
+def aligned(lines: list[str]) -> tuple[list[bool], float]:
+    """Whether each line has delimiters that recur, as many times, in the line above or below;
+    and the share of all delimiters that stand in the same column as one there, give or take one.
+    """
     found = [False] * len(lines)
+    in_column = delimiters = 0
     for delimiter in _DELIMITERS:
-        counts = [len(delimiter.findall(x)) for x in lines]
-        for i, n in enumerate(counts):
-            if n and n in (counts[i - 1] if i else 0, counts[i + 1] if i + 1 < len(counts) else 0):
+        places = [[m.end() for m in delimiter.finditer(x)] for x in lines]  # where the next cell begins
+        for i, own in enumerate(places):
+            if not own:
+                continue
+            around = [places[k] for k in (i - 1, i + 1) if 0 <= k < len(places)]
+            if any(len(own) == len(x) for x in around):
                 found[i] = True
-    return found
+            columns = {c + d for x in around for c in x for d in (-1, 0, 1)}
+            in_column += sum(c in columns for c in own)
+            delimiters += len(own)
+    return found, in_column / max(delimiters, 1)
 
 
 def autocorrelation(values: list[int], most: int = 8) -> float:
@@ -113,9 +122,8 @@ def page_profile(content: str | None, common: frozenset[str]) -> tuple:
     if not words:
         return (0, len(lines)) + (0.0,) * len(_FEATURES)
     plain = [_plain(x) for x in lines]
-    grid = aligned(plain)
-    weight = dict.fromkeys(("prose", "item", "table", "other"), 0)
-    letters = digits = symbols = ended = body = common_words = all_words = word_chars = 0
+    grid, in_column = aligned(plain)
+    letters = digits = symbols = ended = body = chars_all = chars_items = chars_grid = common_words = all_words = word_chars = 0
     for line, in_grid in zip(plain, grid):
         text = line.strip()
         chars = len(text.replace(" ", ""))
@@ -123,43 +131,21 @@ def page_profile(content: str | None, common: frozenset[str]) -> tuple:
         digit = sum(map(str.isdigit, text))
         letters, digits, symbols = letters + letter, digits + digit, symbols + chars - letter - digit
         found = [w.lower() for w in _WORD.findall(text)]
-        known = sum(w in common for w in found)
-        all_words, common_words, word_chars = all_words + len(found), common_words + known, word_chars + sum(map(len, found))
+        all_words, common_words, word_chars = all_words + len(found), common_words + sum(w in common for w in found), word_chars + sum(map(len, found))
         if _HEADING.match(text) or _SEPARATOR.fullmatch(text):
             continue
         body += 1
-        end = _END.search(text) is not None
-        ended += end
-        item = _ITEM.match(line)
-        # Scripts written without spaces or with attached particles: a sentence end is enough.
-        dense = sum(1 for c in text if "぀" <= c <= "鿿" or "가" <= c <= "힣") * 2 > letter > 0
-        strange = _strange(text)
-        sentence = strange < 0.08 and len(found) >= 3 and (known >= max(2, 0.12 * len(found)) or (end and (known >= 1 or dense)) or (dense and not item and not in_grid and chars > 15))
-        if in_grid and not (sentence and end and len(found) > 8):
-            weight["table"] += chars
-        elif item and not (sentence and end):
-            weight["item"] += chars
-        else:
-            weight["prose" if sentence else "other"] += chars
-    total = sum(weight.values()) or 1
+        ended += _END.search(text) is not None
+        chars_all += chars
+        chars_grid += chars * in_grid
+        chars_items += chars * (_ITEM.match(line) is not None)
     signs = letters + digits + symbols or 1
     return (
         words, len(lines), word_chars / max(all_words, 1), symbols / signs, digits / signs, ended / max(body, 1), common_words / max(all_words, 1),
-        weight["item"] / total, weight["table"] / total, indent_period(lines), autocorrelation([len(x) for x in lines]), weight["prose"] / total if body else 1.0,
+        chars_items / max(chars_all, 1), chars_grid / max(chars_all, 1), in_column, indent_period(lines), autocorrelation([len(x) for x in lines]),
     )
 
 
-def _strange(text: str) -> float:
-    """Share of signs that are neither letters, digits, spaces nor usual punctuation, and of letters out of place."""
-    odd = 0
-    for c in text:
-        if c.isascii():
-            odd += c in "^@%~\x7f" or c < " "
-        elif c in "ÃÂâ€œ€¼½¢§±°¦¤¬�ï»¿":
-            odd += c not in "â"
-    return odd / max(len(text), 1)
-
-
 def _profiles(common: frozenset[str], key: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,22 +184,22 @@ def page_quality(files: DataFrame, common_words: DataFrame, key: str = "page_id"
     return best.select(key, *[F.col(f"s.{name}").alias(name) for name in STATS])
 
 
-def fit(stats: DataFrame, labels: DataFrame, key: str = "page_id", most: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(stats: DataFrame, labels: DataFrame, key: str = "page_id", most: int = FIT_ROWS, features: tuple[str, ...] = _FEATURES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, means, scales) of the model that tells prose (0) from the rest (1).
 
     At most ``most`` labelled pages are used. Labels other than prose, list, table and junk,
     and pages with several labels, are left out. Without both kinds the model falls back to
-    the share of prose alone, at one half.
+    the share of lines that end a sentence alone, at one half.
     """
     known = labels.where(F.col("shape").isin("prose", "list", "table", "junk") & F.col(key).isNotNull())
     known = known.groupBy(key).agg(F.min("shape").alias("shape"), F.max("shape").alias("s")).where("shape = s")
     chosen = known.orderBy(F.xxhash64(key), key).limit(most)
-    rows = stats.where("words > 0").join(F.broadcast(chosen), key).select("shape", *_FEATURES).toPandas()
-    x, y = rows[list(_FEATURES)].to_numpy(float), (rows["shape"] != "prose").to_numpy(float)
+    rows = stats.where("words > 0").join(F.broadcast(chosen), key).select("shape", *features).toPandas()
+    x, y = rows[list(features)].to_numpy(float), (rows["shape"] != "prose").to_numpy(float)
     if not len(y) or y.min() == y.max():
-        weights = np.zeros(len(_FEATURES) + 1)
-        weights[-1], weights[0] = -10.0, 5.0
-        return weights, np.zeros(len(_FEATURES)), np.ones(len(_FEATURES))
+        weights = np.zeros(len(features) + 1)
+        weights[0], weights[1 + features.index("punct_end_share")] = 5.0, -10.0
+        return weights, np.zeros(len(features)), np.ones(len(features))
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.c_[np.ones(len(x)), (x - means) / scales]
     weights = _logistic(z, y)
@@ -238,10 +224,10 @@ def _logistic(z: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40)
     return weights
 
 
-def scored(stats: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+def scored(stats: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], features: tuple[str, ...] = _FEATURES) -> DataFrame:
     """``stats`` with ``chance``, the model's probability that a page is not prose; null without words."""
     weights, means, scales = model
     line = F.lit(float(weights[0]))
-    for name, w, m, s in zip(_FEATURES, weights[1:], means, scales):
+    for name, w, m, s in zip(features, weights[1:], means, scales):
         line = line + (F.col(name) - float(m)) * float(w / s)
     return stats.withColumn("chance", F.when(F.col("words") > 0, 1 / (1 + F.exp(-line))))
