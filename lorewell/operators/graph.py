@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lorewell.operators.resolve import ordered
 from lorewell.session import Scratch
 
 
@@ -39,12 +40,23 @@ def components(neighbours: DataFrame, scratch: Scratch | None = None) -> DataFra
     return star.select("node", F.col("low").alias("component")).unionByName(roots)
 
 
-def component_sizes(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(vault, component, pages, first_name, place) of each component, the largest of a vault first."""
+def component_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(vault, component, pages, first_name) of each component."""
     named = documents.select("vault", F.col("page_id").alias("node"), "name").join(labels, "node")
-    sizes = named.groupBy("vault", "component").agg(F.count("*").alias("pages"), F.min(F.lower("name")).alias("first_name"))
-    order = Window.partitionBy("vault").orderBy(F.desc("pages"), "first_name")
-    return sizes.withColumn("place", F.row_number().over(order))
+    return named.groupBy("vault", "component").agg(F.count("*").alias("pages"), F.min(F.lower("name")).alias("first_name"))
+
+
+def component_sizes(documents: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(vault, component, pages, first_name, place) of each component, the largest of a vault first."""
+    scratch = scratch or Scratch(documents.sparkSession)
+    return ordered(component_counts(documents, labels), scratch, F.desc("pages"), F.asc("first_name"), F.asc("component"))
+
+
+def largest_members(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(vault, page_id, name) of each vault's largest component; of equal ones the one whose name comes first."""
+    first = component_counts(documents, labels).groupBy("vault").agg(F.min(F.struct(-F.col("pages"), "first_name", "component")).alias("c"))
+    named = documents.select("vault", "page_id", "name").join(labels.withColumnRenamed("node", "page_id"), "page_id")
+    return named.join(first.select(F.col("c.component").alias("component")), "component", "left_semi").select("vault", "page_id", "name")
 
 
 def members(documents: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -117,17 +117,16 @@ def outgoing(resolved: DataFrame, documents: DataFrame) -> DataFrame:
     return grouped.select("vault", "src_page", "missing", "name")
 
 
-def ordered(frame: DataFrame, scratch: Scratch) -> DataFrame:
-    """``frame`` with ``place`` from 1 in the order of lower-case names inside each vault.
+def ordered(frame: DataFrame, scratch: Scratch, *order) -> DataFrame:
+    """``frame`` with ``place`` from 1 in each vault, in the given order (a total one) or that of lower-case names.
 
-    Rows are ranged over the partitions by (vault, name), numbered inside each, and shifted
+    Rows are ranged over the partitions by vault and order, numbered inside each, and shifted
     by what the partitions before hold of their vault; no vault is sorted in one task.
     """
-    keyed = frame.withColumn("low", F.lower("name"))
-    ranged = keyed.repartitionByRange("vault", "low", "page_id").withColumn("part", F.spark_partition_id())
-    ranged = scratch.save(ranged)
-    inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("vault", "part").orderBy("low", "page_id")))
+    order = order or (F.lower("name"), F.col("page_id"))
+    ranged = scratch.save(frame.repartitionByRange("vault", *order).withColumn("part", F.spark_partition_id()))
+    inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("vault", "part").orderBy(*order)))
     held = ranged.groupBy("vault", "part").agg(F.count("*").alias("n"))
     before = held.withColumn("shift", F.sum("n").over(Window.partitionBy("vault").orderBy("part")) - F.col("n"))  # one row a partition
     placed = inside.join(before.select("vault", "part", "shift"), ["vault", "part"])
-    return placed.withColumn("place", (F.col("shift") + F.col("k")).cast("int")).drop("low", "part", "k", "shift")
+    return placed.withColumn("place", (F.col("shift") + F.col("k")).cast("int")).drop("part", "k", "shift")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lorewell.operators.resolve import ordered
+from lorewell.session import Scratch
+
 
 def wanted_pages(resolved: DataFrame, documents: DataFrame) -> DataFrame:
     """(vault, target_key, name, mentions, docs) of unresolved keys.
@@ -30,11 +33,17 @@ def wanted_sources(resolved: DataFrame, documents: DataFrame) -> DataFrame:
     return missing.groupBy("vault", "target_key", "src_page", "document", "context").agg(F.count("*").alias("mentions")).drop("src_page")
 
 
-def ranked(wanted: DataFrame, limit: int | None = None) -> DataFrame:
-    """``wanted`` with ``place`` in its vault: most mentions, then most documents, then name; at most ``limit`` a vault."""
-    order = Window.partitionBy("vault").orderBy(F.desc("mentions"), F.desc("docs"), F.lower("name"), "target_key")
-    placed = wanted.withColumn("place", F.row_number().over(order))
-    return placed.where(F.col("place") <= limit) if limit is not None else placed
+def ranked(wanted: DataFrame, limit: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """``wanted`` with ``place`` in its vault: most mentions, then most documents, then name; at most ``limit`` a vault.
+
+    A limited ranking keeps only so many rows of each task before any vault is put together;
+    a whole one is ranged over all tasks.
+    """
+    order = [F.desc("mentions"), F.desc("docs"), F.lower("name"), F.asc("target_key")]
+    if limit is None:
+        return ordered(wanted, scratch or Scratch(wanted.sparkSession), *order)
+    window = Window.partitionBy("vault").orderBy(*order)
+    return wanted.withColumn("place", F.row_number().over(window)).where(F.col("place") <= limit)
 
 
 def first_sources(sources: DataFrame, limit: int) -> DataFrame:

@@ -15,8 +15,8 @@ from lorewell.operators import duplicates, graph, lengths, resolve, wanted
 from lorewell.plans.wiki import Wiki
 from lorewell.session import Scratch, table
 
-#: Sampled pairs a vault in the path statistics; a feature of the operator, not a cap on its input.
-SAMPLES = 200
+#: Sampled pairs a vault in the path statistics, the command's default; a feature of the operator, not a cap on its input.
+SAMPLES = 500
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

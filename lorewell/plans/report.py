@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.functions.names import document_line
@@ -98,12 +100,12 @@ def links(wiki: Wiki, page_id: int) -> str:
     known = lines_for(wiki)
     out = ["// this page", *[r["line"] for r in known.where(F.col("page_id") == page_id).collect()], "// incoming links"]
     incoming = wiki.edges.where(F.col("dst") == page_id).select(F.col("src").alias("page_id")).join(known, "page_id").orderBy(F.lower("name"))
-    out += [r["line"] for r in incoming.collect()] or ["// none"]
+    out += [r["line"] for r in incoming.toLocalIterator()] or ["// none"]
     found = wiki.outgoing().where(F.col("src_page") == page_id)
     existing = found.where("not missing").join(known, "name").select("line", "missing", "name")
     missing = found.where("missing").select(F.concat(F.lit("[["), "name", F.lit("]]: (missing)")).alias("line"), "missing", "name")
     outgoing = existing.unionByName(missing).orderBy("missing", F.lower("name"))
-    return "\n".join([*out, "// outgoing links", *([r["line"] for r in outgoing.collect()] or ["// none"])])
+    return "\n".join([*out, "// outgoing links", *([r["line"] for r in outgoing.toLocalIterator()] or ["// none"])])
 
 
 def path(wiki: Wiki, source: int, target: int) -> str:
@@ -121,13 +123,20 @@ def _path_lines(wiki: Wiki, pages: list[int]) -> list[str]:
     return [shown[p] for p in pages]
 
 
+def _with_sources(wiki: Wiki, limit: int, sources: int) -> list[tuple]:
+    """(wanted page, its first sources) of the first ``limit`` pages, by one job each; 0 gives all sources."""
+    ranked = wiki.scratch.save(wiki.wanted_ranking(limit))
+    pages = ranked.orderBy("place").collect()  # at most ``limit`` a vault
+    mine = wiki.wanted_sources().join(F.broadcast(ranked.select("vault", "target_key", "place")), ["vault", "target_key"])
+    mine = wanted.first_sources(mine.withColumnRenamed("place", "page"), sources)
+    mine = mine.orderBy("page", F.desc("mentions"), F.lower("document"), F.lower("context"), "context")
+    found = {page: list(rows) for page, rows in itertools.groupby(mine.toLocalIterator(), key=lambda r: r["page"])}
+    return [(page, found.get(page["place"], [])) for page in pages]
+
+
 def wanted_list(wiki: Wiki, limit: int = 10, sources: int = 10) -> str:
-    pages = wanted.ranked(wiki.wanted(), limit).orderBy("place").collect()
     blocks = []
-    for page in pages:
-        mine = wiki.wanted_sources().where((F.col("vault") == page["vault"]) & (F.col("target_key") == page["target_key"]))
-        mine = mine.orderBy(F.desc("mentions"), F.lower("document"), F.lower("context"))
-        rows = mine.limit(sources + 1).collect() if sources else mine.collect()
+    for page, rows in _with_sources(wiki, limit, sources + 1 if sources else 0):
         shown = rows[:sources] if sources else rows
         block = [f"[[{page['name']}]] ({page['mentions']} {'link' if page['mentions'] == 1 else 'links'})", "", *(f"- [[{s['document']}]]: {s['context']}" for s in shown)]
         blocks.append("\n".join(block + (["_ ..."] if len(rows) > len(shown) else [])))
@@ -144,18 +153,17 @@ def average_path(wiki: Wiki, samples: int = 500, examples: int = 1, seed: int =
     found = wiki.scratch.save(wiki.sampled_distances(samples, seed, paths=True))
     total = graph.path_statistics(found).first()
     out = [f"// avg_shortest_path component={size} samples={total['pairs']} avg={total['average']:.4f}"]
-    longer = _longest(wiki, found.where(F.col("distance") > total["average"]), examples)
-    for row in longer:
-        out += [f"// path distance={row['distance']}", *_path_lines(wiki, row["path"])]
-    return "\n".join(out)
+    return "\n".join(out + _shown_paths(wiki, graph.longest(graph.longer_than_average(found), wiki.documents, examples)))
 
 
-def _longest(wiki: Wiki, found: DataFrame, limit: int) -> list:
-    """The longest paths; of equal ones those whose names come first."""
-    names = wiki.documents.select(F.col("page_id").alias("node"), F.lower("name").alias("low"))
-    steps = found.select("source", "target", "distance", "path", F.posexplode("path").alias("at", "node")).join(names, "node")
-    order = steps.groupBy("source", "target", "distance", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "low"))), lambda x: x["low"]).alias("names"))
-    return order.orderBy(F.desc("distance"), "names").limit(limit).collect()
+def _shown_paths(wiki: Wiki, paths: DataFrame) -> list[str]:
+    """The paths in their order with a line for each page, by one job."""
+    steps = paths.select("place", "distance", F.posexplode("path").alias("at", "page_id")).join(lines_for(wiki), "page_id")
+    out = []
+    for row in steps.orderBy("place", "at").collect():  # a bounded number of paths
+        out += [f"// path distance={row['distance']}"] if row["at"] == 0 else []
+        out.append(row["line"])
+    return out
 
 
 def suggest(wiki: Wiki, filters: tuple[str, ...] = FILTERS, samples: int = 2000, paths: int = 5, limit: int = 10, seed: int = 1,
@@ -163,20 +171,18 @@ def suggest(wiki: Wiki, filters: tuple[str, ...] = FILTERS, samples: int = 2000,
     """Refactoring candidates; only the sections asked for are computed, in a fixed order."""
     out = [f"// suggest documents={wiki.documents.count()} filters={','.join(filters)}"]
     if "sampled-diameter" in filters:
-        found = wiki.sampled_distances(samples, seed, paths=True) if samples else None
-        rows = [] if found is None else _longest(wiki, (found := wiki.scratch.save(found)), paths)
+        found = wiki.scratch.save(wiki.sampled_distances(samples, seed, paths=True)) if samples else None
         total = graph.path_statistics(found).head(1) if found is not None else []
-        out.append(f"// sampled_diameter samples={total[0]['pairs'] if total else 0} sampled_diameter={total[0]['longest'] if total else 0} paths={len(rows)}")
-        out += guidance("sampled_diameter")
-        for row in rows:
-            out += [f"// path distance={row['distance']}", *_path_lines(wiki, row["path"])]
+        shown = _shown_paths(wiki, graph.longest(found, wiki.documents, paths)) if total else []
+        count = sum(x.startswith("// path distance=") for x in shown)
+        out.append(f"// sampled_diameter samples={total[0]['pairs'] if total else 0} sampled_diameter={total[0]['longest'] if total else 0} paths={count}")
+        out += guidance("sampled_diameter") + shown
     if "wanted-pressure" in filters:
-        pages = wanted.ranked(wiki.wanted(), limit).orderBy("place").collect()
+        pages = _with_sources(wiki, limit, 3)
         out += [f"// wanted_pressure pages={len(pages)}", *guidance("wanted_pressure"), *([] if pages else ["_ none"])]
-        for page in pages:
+        for page, rows in pages:
             out.append(f"[[{page['name']}]] mentions={page['mentions']} source_documents={page['docs']}")
-            mine = wiki.wanted_sources().where((F.col("vault") == page["vault"]) & (F.col("target_key") == page["target_key"]))
-            out += [f"- [[{s['document']}]]: {s['context']}" for s in mine.orderBy(F.desc("mentions"), F.lower("document"), F.lower("context")).limit(3).collect()]
+            out += [f"- [[{s['document']}]]: {s['context']}" for s in rows]
     for name, label in (("long-pages", "long_pages"), ("short-stubs", "short_stubs")):
         if name not in filters:
             continue

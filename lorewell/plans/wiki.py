@@ -111,7 +111,7 @@ class Wiki:
         return graph.orphans(self.documents, self.neighbours)
 
     def component_sizes(self) -> DataFrame:
-        return graph.component_sizes(self.documents, self.components)
+        return graph.component_sizes(self.documents, self.components, self.scratch)
 
     def component_members(self) -> DataFrame:
         return graph.members(self.documents, self.components, self.component_sizes())
@@ -127,8 +127,7 @@ class Wiki:
 
     def largest(self) -> DataFrame:
         """(vault, page_id, name, place) of each vault's largest component, in the order of names."""
-        largest = self.component_members().where("place = 1").drop("place")
-        return resolve.ordered(largest, self.scratch).select("vault", "page_id", "name", "place")
+        return resolve.ordered(graph.largest_members(self.documents, self.components), self.scratch).select("vault", "page_id", "name", "place")
 
     def sampled_pairs(self, samples: int, seed: int = 1) -> DataFrame:
         return graph.sampled_pairs(self.largest(), samples, seed)
@@ -141,6 +140,9 @@ class Wiki:
     def wanted(self) -> DataFrame:
         return wanted.wanted_pages(self.links, self.documents)
 
+    def wanted_ranking(self, limit: int | None = None) -> DataFrame:
+        return wanted.ranked(self.wanted(), limit, self.scratch)
+
     def wanted_sources(self) -> DataFrame:
         return wanted.wanted_sources(self.links, self.documents)
 

@@ -65,8 +65,12 @@ def read_folder(spark: SparkSession, root: str, nested: bool = False, vault: str
 def read_object_store(spark: SparkSession, root: str, nested: bool = False, vault: str = "") -> DataFrame:
     """The same through Spark's file index, for stores without a mounted folder.
 
-    Spark's index hides names that begin with a dot or an underscore; ids are hashes of the paths.
+    Spark's index hides names that begin with a dot or an underscore. Where the store holds
+    such notes a ``ValueError`` says so, so that none is lost unseen. Ids are hashes of the paths.
     """
+    hidden = [p for p in _listed(spark, root, nested) if p.rpartition("/")[2][0] in "._"]
+    if hidden:
+        raise ValueError(f"{len(hidden)} notes have names that Spark's file index hides, the first is {hidden[0]}")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", str(nested).lower()).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     path = F.regexp_replace("path", r"^[a-z0-9]+:/+", "")
@@ -77,6 +81,19 @@ def read_object_store(spark: SparkSession, root: str, nested: bool = False, vaul
     return rows.select(F.xxhash64("rel_file").alias("page_id"), F.lit(vault or base).alias("vault"), "rel_file", F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("received_at"))
 
 
+def _listed(spark: SparkSession, root: str, nested: bool) -> list[str]:
+    """Paths of the notes below a root by the store's own listing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, found, files = system.makeQualified(path).toString().rstrip("/") + "/", [], system.listFiles(path, nested)
+    while files.hasNext():
+        rel = files.next().getPath().toString().removeprefix(base)
+        *folders, name = rel.split("/")
+        if name[:-3] and name[-3:].lower() == ".md" and not any(f.startswith(".") or f in IGNORED for f in folders):
+            found.append(rel)
+    return sorted(found)
+
+
 def write_table(rewritten: DataFrame, path: str) -> None:
     """The changed files as a parquet table (rel_file, new_content)."""
     rewritten.write.parquet(path)

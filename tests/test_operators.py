@@ -175,3 +175,27 @@ def test_files_are_read_and_shuffled_once(spark, data):
         assert plan.count("FileScan") == scans and plan.count("Exchange hashpartitioning") == 1
     optimised = w.sizes._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in optimised.split("MapInPandas")[0]
+
+
+def test_object_store(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "target").mkdir()
+    for name, text in (("A.md", "a [[b]]"), ("sub/b.MD", "b"), ("target/G.md", "g"), ("c.txt", "c")):
+        (tmp_path / name).write_text(text)
+    found = notes.read_object_store(spark, str(tmp_path), nested=True)
+    assert rows(found, "rel_file", "content") == [("A.md", "a [[b]]"), ("sub/b.MD", "b")]
+    assert rows(notes.read_object_store(spark, str(tmp_path)), "rel_file") == [("A.md",)]
+    folder = notes.read_folder(spark, str(tmp_path), nested=True)
+    assert rows(Wiki(found, True).documents, "name", "excerpt") == rows(Wiki(folder, True).documents, "name", "excerpt")
+    (tmp_path / "sub" / "_hidden.md").write_text("h")
+    with pytest.raises(ValueError, match="1 notes have names"):
+        notes.read_object_store(spark, str(tmp_path), nested=True)
+
+
+def test_places_over_many_parts(spark):
+    frame = spark.createDataFrame([("v" if i % 3 else "w", f"k{i}", f"Name {i % 7}", i % 5, i % 2) for i in range(200)], "vault string, target_key string, name string, mentions int, docs int")
+    from lorewell.operators import wanted
+
+    whole = {r["target_key"]: r["place"] for r in wanted.ranked(frame).collect()}
+    limited = {r["target_key"]: r["place"] for r in wanted.ranked(frame, 1000).collect()}
+    assert whole == limited and len(whole) == 200
