@@ -89,8 +89,15 @@ def lookup(documents: DataFrame, front: DataFrame, identifier: str, vault: str)
 
 
 def duplicate_keys(documents: DataFrame) -> DataFrame:
-    """(vault, key, pages) of keys that several pages share, which a vault must not have."""
-    return documents.groupBy("vault", "key").agg(F.count("*").alias("pages")).where("pages > 1")
+    """(vault, key, pages, rel_path) of keys that several pages share, which a vault must not have.
+
+    ``rel_path`` is the path, without extension, of the second page in the order of paths.
+    """
+    path = F.regexp_replace("rel_path", r"(?i)\.md$", "")
+    rows = documents.select("vault", "key", F.struct(F.lower(path).alias("low"), path.alias("rel_path"), "page_id").alias("p"))
+    first = rows.groupBy("vault", "key").agg(F.count("*").alias("pages"), F.min("p").alias("first")).where("pages > 1")
+    later = rows.join(first, ["vault", "key"]).where("p <> first").groupBy("vault", "key", "pages").agg(F.min("p").alias("second"))
+    return later.select("vault", "key", "pages", F.col("second.rel_path").alias("rel_path"))
 
 
 def edges(resolved: DataFrame) -> DataFrame:

@@ -86,11 +86,20 @@ class Wiki:
 
     def check(self) -> Wiki:
         """``ValueError`` if two documents of a vault share a key."""
-        twice = self.duplicate_keys().orderBy("vault", "key").head(1)
+        twice = self.duplicate_keys().orderBy("vault", F.lower("rel_path")).head(1)
         if twice:
-            raise ValueError(f'duplicate document names "{twice[0]["key"]}" in "{twice[0]["vault"]}"')
+            raise ValueError(f'duplicate document names "{twice[0]["rel_path"]}" in "{twice[0]["vault"]}"')
         return self
 
+    #: Tables that ``register_views`` makes known to SQL.
+    VIEWS = ("documents", "front_matter", "links", "link_only_lines", "edges", "neighbours", "components", "statistics", "sizes", "fingerprints")
+
+    def register_views(self, prefix: str = "wiki_") -> list[str]:
+        """Temporary views of this collection's tables, so that ``spark.sql`` works over them; returns their names."""
+        for name in self.VIEWS:
+            getattr(self, name).createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in self.VIEWS]
+
     def find(self, identifier: str, vault: str) -> int:
         from lorewell.functions.names import path_key
 

@@ -64,8 +64,8 @@ def test_lookup(spark):
 
 
 def test_duplicate_names(spark):
-    with pytest.raises(ValueError, match="duplicate document names"):
-        wiki(spark, {"A.md": "", "a.md": ""}).check()
+    with pytest.raises(ValueError, match='duplicate document names "x/Ab"'):
+        wiki(spark, {"C.md": "", "x/Ab.md": "", "aB.md": "", "z/ab.md": "", "z/c.md": ""}).check()
 
 
 def test_nested_resolution(spark):
@@ -199,3 +199,10 @@ def test_places_over_many_parts(spark):
     whole = {r["target_key"]: r["place"] for r in wanted.ranked(frame).collect()}
     limited = {r["target_key"]: r["place"] for r in wanted.ranked(frame, 1000).collect()}
     assert whole == limited and len(whole) == 200
+
+
+def test_views(chain):
+    assert set(chain.register_views("t_")) == {"t_" + name for name in Wiki.VIEWS}
+    found = chain.spark.sql("SELECT d.name, count(*) AS n FROM t_edges e JOIN t_documents d ON d.page_id = e.dst GROUP BY d.name HAVING count(*) > 1")
+    assert rows(found, "name", "n") == [("D", 2)]
+    assert chain.spark.sql("SELECT sum(words) FROM t_sizes").first()[0] == chain.spark.sql("SELECT sum(words) FROM t_statistics").first()[0]
