@@ -29,8 +29,8 @@ _FRONT = re.compile(r"---\r*\n(?:.*?\n)?---\r*(?:\n|$)", re.S)
 _FENCE = re.compile(r"(`{3,}|~{3,})")
 _HEADING = re.compile(r"#{1,6}(?:\s|$)")
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+(?:\[[ xX]\]\s+)?")
-_WIKI_LINK = re.compile(r"!?\[\[([^\[\]|]*?)(?:\\?\|([^\[\]]*))?\]\]")
-_MD_LINK = re.compile(r"!?\[([^\[\]]*)\]\((?:<[^<>\n]*>|[^()\s]*)[^()\n]*\)")
+_WIKI_LINK = re.compile(r"!?\[\[([^\[\]|\n]*?)(?:\\?\|([^\[\]\n]*))?\]\]")
+_MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\((?:<[^<>\n]*>|[^()\s]*)[^()\n]*\)")
 _CODE = re.compile(r"`+[^`\n]*`+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|\{\{[^{}\n]*\}\}")
 _END = re.compile(r"[.!?:。！？…][\W_]*(?:\d{1,2}[\W_]*)?$")
@@ -60,10 +60,13 @@ def visible_lines(content: str) -> list[str]:
     return lines
 
 
-def _plain(line: str) -> str:
-    line = _WIKI_LINK.sub(lambda m: m[2] or m[1], line)
-    line = _MD_LINK.sub(r"\1", line)
-    return _TAG.sub("", _CODE.sub("x", line))
+def _plain(text: str) -> str:
+    """Lines as shown: links by their labels, inline code as a letter, without tags and templates."""
+    if "[" in text:
+        text = _MD_LINK.sub(r"\1", _WIKI_LINK.sub(lambda m: m[2] or m[1], text))
+    if "`" in text:
+        text = _CODE.sub("x", text)
+    return _TAG.sub("", text) if "<" in text or "{" in text else text
 
 
 def aligned(lines: list[str]) -> tuple[list[bool], float]:
@@ -72,7 +75,10 @@ def aligned(lines: list[str]) -> tuple[list[bool], float]:
     """
     found = [False] * len(lines)
     in_column = delimiters = 0
+    whole = "\n".join(lines)
     for delimiter in _DELIMITERS:
+        if not delimiter.search(whole):
+            continue
         places = [[m.end() for m in delimiter.finditer(x)] for x in lines]  # where the next cell begins
         for i, own in enumerate(places):
             if not own:
@@ -121,27 +127,24 @@ def page_profile(content: str | None, common: frozenset[str]) -> tuple:
     words = sum(len(x.split()) for x in lines)
     if not words:
         return (0, len(lines)) + (0.0,) * len(_FEATURES)
-    plain = [_plain(x) for x in lines]
+    whole = _plain("\n".join(lines))
+    plain = whole.split("\n")
     grid, in_column = aligned(plain)
-    letters = digits = symbols = ended = body = chars_all = chars_items = chars_grid = common_words = all_words = word_chars = 0
+    found = _WORD.findall(whole.lower())
+    letters, digits, signs = sum(map(str.isalpha, whole)), sum(map(str.isdigit, whole)), len("".join(whole.split()))
+    ended = body = chars_all = chars_items = chars_grid = 0
     for line, in_grid in zip(plain, grid):
         text = line.strip()
-        chars = len(text.replace(" ", ""))
-        letter = sum(map(str.isalpha, text))
-        digit = sum(map(str.isdigit, text))
-        letters, digits, symbols = letters + letter, digits + digit, symbols + chars - letter - digit
-        found = [w.lower() for w in _WORD.findall(text)]
-        all_words, common_words, word_chars = all_words + len(found), common_words + sum(w in common for w in found), word_chars + sum(map(len, found))
         if _HEADING.match(text) or _SEPARATOR.fullmatch(text):
             continue
+        chars = len(text) - text.count(" ")
         body += 1
         ended += _END.search(text) is not None
         chars_all += chars
         chars_grid += chars * in_grid
         chars_items += chars * (_ITEM.match(line) is not None)
-    signs = letters + digits + symbols or 1
     return (
-        words, len(lines), word_chars / max(all_words, 1), symbols / signs, digits / signs, ended / max(body, 1), common_words / max(all_words, 1),
+        words, len(lines), sum(map(len, found)) / max(len(found), 1), (signs - letters - digits) / max(signs, 1), digits / max(signs, 1), ended / max(body, 1), sum(w in common for w in found) / max(len(found), 1),
         chars_items / max(chars_all, 1), chars_grid / max(chars_all, 1), in_column, indent_period(lines), autocorrelation([len(x) for x in lines]),
     )
 
