@@ -4,7 +4,9 @@ Method: script-aware repair. Invisible characters go, compatibility forms (full
 ligatures, special hyphens and spaces) become plain, accents compose. Then, per token, the
 dominant script is determined; look-alike letters are substituted only in tokens that mix
 scripts, and only if the result exists in the corpus vocabulary. The dominant script is
-tried first, the other scripts of the token after it.
+tried first, the other scripts of the token after it. A token of one script inside a text of
+another one ("ΟΗ-12 seedbed" in Greek capitals) counts as mixed with the words around it if
+all its letters have look-alikes in the text's dominant script.
 
 A visible accent stays: it makes a different form. Letter case is folded last, after the
 substitution, because capitals and small letters have different look-alikes.
@@ -104,6 +106,21 @@ def options(token: str) -> list[str]:
     return found
 
 
+def foreign(token: str, dominant: str) -> str | None:
+    """A token of one script spelled in another, the dominant one of its text, if all its letters can be."""
+    own = {s for s in map(script, token) if s}
+    if len(own) != 1 or dominant in own:
+        return None
+    swapped = unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_TABLES[own.pop(), dominant]))
+    return swapped if all(script(c) in (None, dominant) for c in swapped) else None
+
+
+def dominant_script(text: str) -> str | None:
+    """The script of most letters of a text (ties: Latin, Cyrillic, Greek); None without letters of these."""
+    counts = [sum(script(c) == s for c in text) for s in _SCRIPTS]
+    return _SCRIPTS[counts.index(max(counts))] if any(counts) else None
+
+
 def tokens(text: str) -> list[str]:
     """Runs of letters, digits and marks, and what stands between them."""
     return re.findall(r"[^\W_]+|[\W_]+", text)
@@ -118,7 +135,7 @@ def plain(column: Column) -> Column:
     return F.when(simple, column).otherwise(_plain_udf(F.when(~simple, column)))
 
 
-_OPTIONS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("options", T.ArrayType(T.StringType()))]))
+_OPTIONS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("script", T.StringType()), T.StructField("options", T.ArrayType(T.StringType()))]))
 
 
 @F.pandas_udf(_OPTIONS)
@@ -126,7 +143,13 @@ def _mixed_tokens(texts: pd.Series) -> pd.Series:
     def of(text):
         if text is None:
             return None
-        return [{"token": t, "options": options(t)} for t in dict.fromkeys(tokens(text)) if mixed(t)]
+        found, dominant = [], dominant_script(text)
+        for t in dict.fromkeys(tokens(text)):
+            if mixed(t):
+                found.append({"token": t, "script": "", "options": options(t)})
+            elif whole := foreign(t, dominant):
+                found.append({"token": t, "script": dominant, "options": [whole]})
+        return found
 
     return texts.map(of)
 
@@ -160,10 +183,10 @@ def repaired_forms(texts: DataFrame, column: str, vocabulary: DataFrame) -> Data
     formed = distinct.withColumn("plain", plain(F.col("text")))
     suspect = F.col("plain").rlike(_BOTH)
     marked = formed.where(suspect).select("text", "plain", F.explode(_mixed_tokens("plain")).alias("m"))
-    tries = marked.select(F.col("m.token").alias("token"), F.posexplode("m.options").alias("rank", "repaired")).distinct()
+    tries = marked.select("m.token", "m.script", F.posexplode("m.options").alias("rank", "repaired")).distinct()
     known = tries.withColumn("key", F.lower("repaired")).join(vocabulary.select(F.col("token").alias("key")), "key", "left_semi")
-    best = known.groupBy("token").agg(F.min_by("repaired", "rank").alias("repaired"))
-    per_text = marked.select("text", "plain", "m.token").join(best, "token").groupBy("text", "plain").agg(F.collect_list(F.struct("token", "repaired")).alias("repairs"))
+    best = known.groupBy("token", "script").agg(F.min_by("repaired", "rank").alias("repaired"))
+    per_text = marked.select("text", "plain", "m.token", "m.script").join(best, ["token", "script"]).groupBy("text", "plain").agg(F.collect_list(F.struct("token", "repaired")).alias("repairs"))
     fixed = per_text.select("text", F.lower(_substituted("plain", "repairs")).alias("fixed"))
     return formed.join(fixed, "text", "left").select("text", F.coalesce("fixed", F.lower("plain")).alias("form"))
 

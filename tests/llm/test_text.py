@@ -101,6 +101,14 @@ def test_accents_and_scripts():
     assert "Обзор" in lookalike.options("Oбзop") and "Άνεμος" in lookalike.options("Άvεμoς")
 
 
+def test_tokens_in_another_script_than_their_text(spark):
+    assert lookalike.foreign("ΟΗ", "latin") == "OH" and lookalike.foreign("Обзор", "latin") is None and lookalike.foreign("OH", "latin") is None and lookalike.foreign("12", "latin") is None
+    assert lookalike.dominant_script("ΟΗ-12 seedbed") == "latin" and lookalike.dominant_script("12 - 3") is None
+    pages = spark.createDataFrame([(1, "v", "OH-12 seedbed"), (2, "v", "Обзор ОН"), (3, "v", "Plan 3")], "page_id long, vault string, name string")
+    links = spark.createDataFrame([(1, "v", "ΟΗ-12 seedbed"), (2, "v", "Обзор OH"), (3, "v", "Обзор ОН"), (4, "v", "ΟΗ"), (5, "v", "Рlan 3")], "link_id long, vault string, raw_target string")
+    assert sorted(tuple(r) for r in lookalike.look_alike_links(links, pages).collect()) == [(1, 1), (2, 2), (5, 3)]
+
+
 def test_links_find_what_looks_the_same(spark):
     pages = spark.createDataFrame([(1, "v", "Weekly Keel", 0), (2, "v", "Обзор 12", 0), (3, "v", "Café", 0), (4, "w", "Weekly Keel", 0), (5, "v", None, 0), (None, "v", "x", 0), (6, "v", "", 0)], "page_id long, vault string, name string, text int")
     raw = [(1, "v", "Wеekly Kеel"), (1, "v", "Wеekly Kеel"), (2, "v", "./weekly keel.md"), (3, "v", "Oбзop\u00a012.md"), (4, "v", "Cafe"), (5, "v", "Cafe\u0301"), (6, "v", None), (7, None, "Café"), (8, "w", "ＷＥＥＫＬＹ Keel"), (9, "v", ""), (10, "v", "Zеta")]
