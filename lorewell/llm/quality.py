@@ -212,7 +212,7 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "page_id", most: int = F
     return weights, means, scales
 
 
-def _logistic(z: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
+def _logistic(z: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
     weights = np.zeros(z.shape[1])
     penalty = np.full(z.shape[1], ridge)
     penalty[0] = 1e-3
