@@ -365,7 +365,9 @@ def prefix_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", pref
     """
     scratch = scratch or Scratch(docs.sparkSession)
     hashed = lambda c: (F.xxhash64(c).alias("h"), F.xxhash64(F.lit(7), c).alias("g"))
-    bare = F.rtrim(F.regexp_replace(F.rtrim(F.col(text)), r"(?:…|\.\.\.+|\x{FFFD}+)\s*$", ""))
+    ended = F.rtrim(F.col(text))
+    marked = ended.endswith("…") | ended.endswith("...") | ended.endswith("\ufffd")
+    bare = F.when(marked, F.rtrim(F.regexp_replace(ended, r"(?:…|\.\.\.+|\x{FFFD}+)$", ""))).otherwise(ended)
     texts = docs.select(F.col(key), bare.alias("bare")).where(F.length("bare") > 0)
     begin = F.xxhash64(F.substring("bare", 1, prefix)).alias("begin")
     rows = scratch.save(texts.select(key, *hashed(F.col("bare")), begin, F.length("bare").alias("n")))
