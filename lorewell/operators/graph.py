@@ -22,6 +22,8 @@ def components(neighbours: DataFrame, scratch: Scratch | None = None) -> DataFra
     scratch = scratch or Scratch(neighbours.sparkSession)
     # Every edge from its larger to its smaller end.
     star = scratch.save(neighbours.where("a > b").select(F.col("a").alias("node"), F.col("b").alias("low")).distinct())
+    digest = lambda frame: tuple(frame.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "low")), F.bit_xor(F.xxhash64("low", "node"))).first())
+    before = digest(star)
     while True:
         both = star.select(F.explode(F.array(F.struct("node", F.col("low").alias("other")), F.struct(F.col("low").alias("node"), F.col("node").alias("other")))).alias("e")).select("e.*")
         least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
@@ -31,11 +33,11 @@ def components(neighbours: DataFrame, scratch: Scratch | None = None) -> DataFra
         moved = large.join(smallest, "node").where("low <> least").select(F.col("low").alias("node"), F.col("least").alias("low"))
         following = scratch.save(moved.unionByName(smallest.select("node", F.col("least").alias("low"))).distinct())
         scratch.drop(large)
-        same = following.join(star, ["node", "low"], "left_anti").isEmpty() and star.join(following, ["node", "low"], "left_anti").isEmpty()
         scratch.drop(star)
-        star = following
-        if same:
+        star, after = following, digest(following)
+        if after == before:  # the same distinct edges, by count and two digests of 64 bits
             break
+        before = after
     roots = star.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return star.select("node", F.col("low").alias("component")).unionByName(roots)
 

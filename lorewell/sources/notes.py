@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,20 +100,30 @@ def write_table(rewritten: DataFrame, path: str) -> None:
     rewritten.write.parquet(path)
 
 
+def _write(root: str, moves: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                target = row.new_rel_file if moves else row.rel_file
+                path = os.path.join(root, target)
+                os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+                # A whole file replaces the old one at once, so a task that is run again does no harm.
+                beside = f"{path}.{uuid.uuid4().hex}"
+                with open(beside, "w", encoding="utf-8", newline="") as file:
+                    file.write(row.new_content)
+                os.replace(beside, path)
+                old = os.path.join(root, row.rel_file)
+                if target != row.rel_file and os.path.exists(old) and not os.path.samefile(old, path):
+                    os.remove(old)
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    return run
+
+
 def apply_changes(rewritten: DataFrame, root: str) -> int:
-    """Write changed files back to a local folder, one at a time; returns how many.
+    """Write changed files back to a folder all executors see, by the executors; returns how many.
 
-    Rows are (rel_file, new_content) and, for a rename, new_rel_file. Rows arrive partition
-    by partition, so the driver holds no more than one.
+    Rows are (rel_file, new_content) and, for a rename, new_rel_file.
     """
-    count, moves = 0, "new_rel_file" in rewritten.columns
-    for row in rewritten.toLocalIterator():
-        target = row["new_rel_file"] if moves else row["rel_file"]
-        path = os.path.join(root, target)
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        if target != row["rel_file"]:
-            os.rename(os.path.join(root, row["rel_file"]), path)
-        with open(path, "w", encoding="utf-8", newline="") as file:
-            file.write(row["new_content"])
-        count += 1
-    return count
+    found = rewritten.mapInPandas(_write(os.path.realpath(root), "new_rel_file" in rewritten.columns), "written long")
+    return found.agg(F.sum("written")).first()[0] or 0
