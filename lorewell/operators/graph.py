@@ -121,7 +121,8 @@ def shortest(neighbours: DataFrame, names: DataFrame, pairs: DataFrame, paths: b
     results = [found]
     open_pairs = scratch.save(open_pairs.join(found, ["source", "target"], "left_anti"))
     distance = 0
-    while not open_pairs.isEmpty():
+    # Ends of open pairs that reach nothing new have no path; where that holds for all sources, the search is over.
+    while not (open_pairs.isEmpty() or ahead.isEmpty()):
         following = grown("source", ahead, ahead_before, open_pairs)
         ahead_before, ahead = ahead, following
         following = grown("target", behind, behind_before, open_pairs)
@@ -132,9 +133,7 @@ def shortest(neighbours: DataFrame, names: DataFrame, pairs: DataFrame, paths: b
         hits = first.unionByName(second).groupBy("source", "target").agg(F.min(value).alias("v")).select("source", "target", "v.*")
         state = scratch.save(open_pairs.join(hits, ["source", "target"], "left"))
         results.append(state.where("distance is not null"))
-        # A pair with an end that reaches nothing new has no path.
-        rest = state.where("distance is null").select("source", "target")
-        open_pairs = scratch.save(rest.join(ahead.select("source").distinct(), "source", "left_semi").join(behind.select("target").distinct(), "target", "left_semi"))
+        open_pairs = state.where("distance is null").select("source", "target")
         distance += 2
     result = results[0]
     for part in results[1:]:

@@ -28,6 +28,9 @@ def test_path_takes_first_names(chain):
     assert rows(chain.paths(pairs), "source", "target", "distance", "path") == [(0, 0, 0, [0]), (0, 3, 2, [0, 1, 3])]
     with pytest.raises(LookupError):
         report.path(chain, 0, 4)
+    # Pairs without a path end the search beside others that have one; a page without links reaches itself alone.
+    many = chain.spark.createDataFrame([(0, 4), (4, 5), (6, 0), (3, 0), (6, 6), (7, 3), (2, 1)], "source long, target long")
+    assert rows(chain.paths(many), "source", "target", "path") == [(2, 1, [2, 0, 1]), (3, 0, [3, 1, 0]), (4, 5, [4, 5]), (6, 6, [6])]
 
 
 def test_components_and_lint(chain):
