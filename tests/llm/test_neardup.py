@@ -106,3 +106,13 @@ def test_sets_are_hashed_once(spark, data):
     signed = neardup.signed_sets(neardup.digested(frame, "page_id", "shingles"), Scratch(spark))
     banded = neardup.candidate_pairs(signed)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and banded.count("MapInArrow") == 1 and "fingerprints.parquet" not in banded
+
+
+def test_sets_are_sorted_once(spark, data):
+    """No filter sorts sets again, no comparator is interpreted; copies in another order are still copies."""
+    rows = neardup.digested(spark.read.parquet(f"{data}/fingerprints.parquet"), "page_id", "shingles")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1 and "array_sort(" not in plan
+    turned = spark.createDataFrame([(1, [3, -1, 2]), (2, [2, 3, -1]), (3, [2, 3]), (4, []), (5, None), (None, [1])], "id long, items array<long>")
+    got = {r["id"]: (r["items"], r["digest"]) for r in neardup.digested(turned, "id", "items").collect()}
+    assert set(got) == {1, 2, 3} and got[1] == got[2] and got[1][0] == [-1, 2, 3] and got[3][1] != got[1][1]
